@@ -65,3 +65,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
 """
+
+ORACLES["op1_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(regexp_extract_all(text, '(?s).+?(?:[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\z)'), []) AS p FROM documents),
+s AS (SELECT rid, doc_id, i, p[i] AS raw, trim(regexp_replace(p[i], '[\x20\x09-\x0D]+', ' ', 'g')) AS q FROM (SELECT rid, doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
+two AS (SELECT rid, doc_id, i, 2 AS n, q || ' ' || lead(q) OVER (PARTITION BY rid ORDER BY i) AS t FROM s),
+r AS (
+  SELECT * FROM two WHERE t IS NOT NULL AND len(string_split(t, ' ')) >= 8
+  UNION ALL SELECT rid, doc_id, i, 1 AS n, q AS t FROM s WHERE len(string_split(q, ' ')) >= 30),
+f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, rid, i) AS place FROM r),
+g AS (SELECT DISTINCT rid, unnest(range(i, i + n)) AS i FROM f WHERE place > 1),
+o AS (
+  SELECT s.rid, count(*) AS n_sentences, count(g.i) AS n_removed, coalesce(string_agg(raw, '' ORDER BY s.i) FILTER (g.i IS NULL), '') AS text
+  FROM s LEFT JOIN g ON s.rid = g.rid AND s.i = g.i GROUP BY s.rid)
+SELECT d.doc_id, CAST(coalesce(o.n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(o.n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(o.text, d.text) AS text, sha256(coalesce(o.text, d.text, '')) AS text_sha256
+FROM d LEFT JOIN o USING (rid)
+"""
