@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import decontaminate, mixing, quality_rules, substrings, warc
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op6_mixing": mixing.op6_mixing,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_warc": warc.op9_warc,
 }
