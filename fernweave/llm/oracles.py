@@ -82,3 +82,17 @@ SELECT d.doc_id, CAST(coalesce(o.n_sentences, 0) AS BIGINT) AS n_sentences, CAST
   coalesce(o.text, d.text) AS text, sha256(coalesce(o.text, d.text, '')) AS text_sha256
 FROM d LEFT JOIN o USING (rid)
 """
+
+ORACLES["op10_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+l AS (
+  SELECT a.rid AS x, b.rid AS y FROM s a JOIN s b ON a.t = b.t AND a.rid != b.rid JOIN n p ON p.rid = a.rid JOIN n q ON q.rid = b.rid
+  GROUP BY a.rid, b.rid, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+r(x, y) AS (SELECT rid, rid FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_rules, substrings, warc
+from . import decontaminate, mixing, neardup, quality_rules, substrings, warc
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -10,4 +10,5 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_warc": warc.op9_warc,
+    "op10_near_dedup": neardup.op10_near_dedup,
 }
