@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, read
+from .common import SPACE_WORDS, read, written
 
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix-1"
 SYMBOLS = "#*$%&|<>!"
@@ -80,15 +80,17 @@ def source_targets(spark: SparkSession, sized: DataFrame, source: str, weights:
     return spark.createDataFrame(made, "_ps string, source_size long, target double, _rows long")
 
 
-def mix(docs: DataFrame, source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, slice_rows: int = 4096) -> DataFrame:
-    """docs with size, source_size, target and taken: whole epochs times the size, and once more if drawn."""
+def mix(docs: DataFrame, source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, slice_rows: int = 4096, keep_text: bool = True) -> DataFrame:
+    """docs, with or without their text, with size, source_size, target and taken: whole epochs times the size, and once more if drawn."""
     spark = docs.sparkSession
     sized = docs.withColumn("size", n_words(F.col("text")))
+    sized = sized.withColumn("_w", F.coalesce(quality_weight(F.col("text")), F.lit(1.0))).withColumn("_tie", F.xxhash64("text"))
+    if not keep_text:
+        sized = written(sized.drop("text"), "sizes")  # each text is read once
     plan = source_targets(spark, sized, source, weights, share, most)
     keyed = (
         sized.withColumn("_s", F.col(source))
-        .withColumn("_e", exponential_key(F.col("doc_id"), F.coalesce(quality_weight(F.col("text")), F.lit(1.0)), seed))
-        .withColumn("_tie", F.xxhash64("text"))
+        .withColumn("_e", exponential_key(F.col("doc_id"), F.col("_w"), seed))
         .join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_ps")))
         .drop("_ps")
         .withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
@@ -114,11 +116,11 @@ def mix(docs: DataFrame, source: str = "source", weights: Sequence[float] = WEIG
     inner = inner.withColumn("_drawn", F.col("_end") - F.col("size") / F.lit(2.0) <= F.col("_budget")).drop("_end")
     outer = keyed.where(F.col("_at").isNull() | (F.col("_slice") != F.col("_at"))).withColumn("_drawn", F.col("_at").isNotNull() & (F.col("_slice") < F.col("_at")))
     out = inner.unionByName(outer)
-    return out.withColumn("taken", (F.col("size") * (F.col("_epochs") + F.col("_drawn").cast("int"))).cast("long")).withColumn("copies", (F.col("_epochs") + F.col("_drawn").cast("int")).cast("int")).drop("_s", "_e", "_tie", "_rows", "_epochs", "_budget", "_slice", "_at", "_before", "_drawn")
+    return out.withColumn("taken", (F.col("size") * (F.col("_epochs") + F.col("_drawn").cast("int"))).cast("long")).withColumn("copies", (F.col("_epochs") + F.col("_drawn").cast("int")).cast("int")).drop("_s", "_e", "_w", "_tie", "_rows", "_epochs", "_budget", "_slice", "_at", "_before", "_drawn")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
