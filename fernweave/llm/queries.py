@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality_rules, substrings, warc
+from . import decontaminate, mixing, neardup, pii, quality_rules, substrings, token_counts, warc
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
     "op10_near_dedup": neardup.op10_near_dedup,
 }
