@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernweave.llm import mixing
+from fernweave.llm import decontaminate, mixing, neardup, pii, quality_rules
 from fernweave.llm.common import read, written
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
+    ("quality rules", quality_rules.stage_quality),
+    ("near dedup", neardup.stage_near_dedup),
+    ("decontamination", decontaminate.stage_decontaminate),
+    ("personal data", pii.stage_pii),
     ("mixing sources", mixing.stage_mix),
 ]
 

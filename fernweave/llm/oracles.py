@@ -96,3 +96,33 @@ c AS (SELECT x AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.y
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
 """
+
+
+def _op5(rounds: int) -> str:
+    """The propagation written out, a table a round."""
+    steps = []
+    for i in range(1, rounds + 1):
+        steps.append(f"""f{i} AS MATERIALIZED (SELECT m.kind, m.dst AS host, sum(r.mass * m.share * 0.85::DOUBLE) AS flow FROM moves m JOIN r{i - 1} r ON r.kind = m.kind AND r.host = m.src GROUP BY ALL),
+r{i} AS MATERIALIZED (SELECT coalesce(s.kind, f.kind) AS kind, coalesce(s.host, f.host) AS host, coalesce(s.seed * (1 - coalesce((SELECT sum(flow) FROM f{i} x WHERE x.kind = s.kind), 0)), 0) + coalesce(f.flow, 0) AS mass FROM seeds s FULL JOIN f{i} f ON s.kind = f.kind AND s.host = f.host)""")
+    return r"""
+WITH u AS (SELECT page_id, html, CASE WHEN url IS NOT NULL AND instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+p AS (
+  SELECT page_id, html, host, path, (SELECT arg_max(rh || rp, length(rh || rp)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule,
+    (SELECT arg_max(verdict, length(rh || rp)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS by_rule
+  FROM h),
+hosts AS (SELECT host, count(*) AS n, count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by_rule = 'block') AS b FROM p GROUP BY host),
+seeds AS MATERIALIZED (SELECT 0 AS kind, host, a::DOUBLE / (SELECT sum(a) FROM hosts) AS seed FROM hosts WHERE a > 0 UNION ALL SELECT 1, host, b::DOUBLE / (SELECT sum(b) FROM hosts) FROM hosts WHERE b > 0),
+l AS (SELECT host AS src, unnest(list_transform(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1), lambda x: regexp_extract(x, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1))) AS d FROM p WHERE html IS NOT NULL),
+e AS (SELECT src, CASE WHEN d = '' THEN src ELSE translate(d, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS dst, count(*)::DOUBLE AS n FROM l GROUP BY ALL),
+two_way AS (SELECT 0 AS kind, src, dst, n FROM e UNION ALL SELECT 1, dst, src, n FROM e),
+moves AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM two_way),
+r0 AS (SELECT kind, host, seed AS mass FROM seeds),
+""" + ",\n".join(steps) + f""",
+v AS (SELECT hosts.host, coalesce(sum(mass) FILTER (kind = 1), 0) AS bad, coalesce(sum(mass) FILTER (kind = 0), 0) AS good, any_value(n)::DOUBLE / (SELECT sum(n) FROM hosts) AS share FROM hosts LEFT JOIN r{rounds} r ON r.host = hosts.host GROUP BY hosts.host)
+SELECT page_id, p.host, path, rule, coalesce(by_rule, CASE WHEN bad > good AND bad > 2.0 * share THEN 'block' ELSE 'allow' END) AS verdict FROM p JOIN v ON p.host = v.host
+"""
+
+
+ORACLES["op5_url_filters"] = _op5(8)
