@@ -50,7 +50,8 @@ def drop_written(df: DataFrame) -> None:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z as a-z, other characters as they are: by the quick `lower` where it can't change others, else letter by letter."""
+    return F.when(text.rlike("[^\\x00-\\x7F\u00df-\u00f6\u00f8-\u00ff]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:

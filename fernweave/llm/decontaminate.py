@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, in DataFrame and SQL functions only.
 
 Words of items and documents are hashed in k-grams; of every window of w consecutive k-gram hashes
-the smallest is kept (the last of equal ones). A span of w + k - 1 words shared by both sides has
+the smallest is kept. A span of w + k - 1 words shared by both sides has
 the same w hashes on both sides and so at least one kept hash in common: with k = 5 and w = 6 no
 shared span of 10 words is missed. Fingerprints of both sides are joined, and each hit is extended:
 of the windows of 10 document words around it, those that are windows of an item, compared word by
@@ -14,7 +14,7 @@ where its measured size allows that and else joins by a shuffle that it may spli
 Defined cases: a null or empty document has no words and is clean; a null or empty item has no
 window; a window in several items names them all; rows equal in doc_id and text are one document and
 get the same result each; an empty benchmark leaves all clean; a null item_id is left out of the list
-of items; extra columns stay, but for those named like a returned one and those that begin with `_`.
+of items; columns other than doc_id, item_id and text are passed by.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read, row_key
+from .common import lower_ascii, read, row_key, small_enough, written
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, K = 10, 5
@@ -39,14 +39,16 @@ def windows(col: str, n: int | str) -> Column:
 
 
 def winnowed(w: str, k: int, span: int) -> Column:
-    """(position, hash) of the kept k-grams of an array of at least `span` words; positions count from 0."""
+    """Kept k-grams of an array of words as longs: 32 bits of hash, then 32 bits of position (from 0). Fewer than `span` words: none.
+
+    Hash and position are one number, so that the least of a window is one call without intermediate arrays.
+    """
     wide = span - k + 1
-    grams = f"transform(sequence(1, size({w}) - {k - 1}), i -> xxhash64(array_join(slice({w}, i, {k}), ' ')))"
-    # the last smallest hash of each window: its position from the window's reversed slice
-    kept = f"""array_distinct(transform(sequence(1, size(_g) - {wide - 1}), i ->
-        i + {wide} - cast(array_position(reverse(slice(_g, i, {wide})), array_min(slice(_g, i, {wide}))) as int) - 1))"""
-    inner = kept.replace("_g", "g")
-    return F.expr(f"transform(array({grams}), g -> transform({inner}, p -> struct(p as pos, g[p] as hash)))[0]")
+    gram = "xxhash64(" + ", ".join(f"h[i + {j}]" for j in range(k)) + ")"
+    grams = f"transform(sequence(0, size(h) - {k}), i -> shiftleft({gram}, 32) | cast(i as bigint))"
+    least = "least(" + ", ".join(f"g[i + {j}]" for j in range(wide)) + ")"
+    kept = f"array_distinct(transform(sequence(0, size(g) - {wide}), i -> {least}))"
+    return F.expr(f"case when size({w}) >= {span} then transform(array(transform({w}, x -> xxhash64(x))), h -> transform(array({grams}), g -> {kept})[0])[0] else array() end")
 
 
 def item_windows(items: DataFrame, span: int) -> DataFrame:
@@ -57,41 +59,50 @@ def item_windows(items: DataFrame, span: int) -> DataFrame:
 
 
 def fingerprints(items: DataFrame, k: int, span: int) -> DataFrame:
-    w = items.select(words(F.col("text")).alias("_w")).where(F.size("_w") >= span)
-    return w.select(F.explode(winnowed("_w", k, span)).alias("f")).select(F.col("f.hash").alias("hash")).distinct()
+    w = items.select(words(F.col("text")).alias("_w"))
+    return w.select(F.explode(winnowed("_w", k, span)).alias("f")).select(F.shiftright("f", 32).alias("hash")).distinct()
+
+
+def sketched(docs: DataFrame, k: int, span: int) -> DataFrame:
+    """(doc_id, _k, n_words, prints) of each document, written: texts are cut in words once."""
+    w = docs.select("doc_id", row_key().alias("_k"), words(F.col("text")).alias("_w"))
+    return written(w.select("doc_id", "_k", F.size("_w").cast("long").alias("n_words"), winnowed("_w", k, span).alias("prints")), "prints")
 
 
-def hit_windows(docs: DataFrame, items: DataFrame, k: int, span: int) -> DataFrame:
+def hit_windows(docs: DataFrame, sketch: DataFrame, items: DataFrame, k: int, span: int) -> DataFrame:
     """(_k, start, n, item_ids): occurrences of item windows in documents, without repeated documents."""
     known = item_windows(items, span)
-    w = docs.select(row_key().alias("_k"), words(F.col("text")).alias("_w"))
-    prints = w.where(F.size("_w") >= span).select("_k", F.explode(winnowed("_w", k, span)).alias("f"))
-    hits = prints.select("_k", F.col("f.pos").alias("_p"), F.col("f.hash").alias("hash")).join(fingerprints(items, k, span), "hash", "left_semi")
-    at = hits.groupBy("_k").agg(F.collect_set("_p").alias("_at"))
-    # extension: every window of `span` words that holds a kept k-gram
+    prints = sketch.select("_k", F.explode("prints").alias("f")).select("_k", F.shiftright("f", 32).alias("hash"), F.expr("cast(f & 4294967295 as int)").alias("_p"))
+    hits = prints.join(fingerprints(items, k, span), "hash", "left_semi")
+    at = written(hits.groupBy("_k").agg(F.collect_set("_p").alias("_at")), "hits")  # positions in one document
+    at = F.broadcast(at) if (at.agg(F.sum(F.size("_at") * 4 + 64)).first()[0] or 0) <= 8 << 20 else at
+    # extension: every window of `span` words that holds a kept k-gram, in the documents that have one
     around = f"""array_distinct(flatten(transform(_at, p -> sequence(greatest(p - {span - k}, 0), least(p, size(_w) - {span})))))"""
-    near = w.join(at, "_k").dropDuplicates(["_k"]).withColumn("_s", F.expr(around))
+    own = docs.select(row_key().alias("_k"), "text").join(at, "_k").dropDuplicates(["_k"]).select("_k", "_at", words(F.col("text")).alias("_w"))
+    near = own.withColumn("_s", F.expr(around))
     near = near.select("_k", F.explode(F.expr(f"transform(_s, s -> struct(s as start, array_join(slice(_w, s + 1, {span}), ' ') as window))")).alias("x"))
     near = near.select("_k", F.col("x.start").alias("start"), F.lit(span).alias("n"), F.col("x.window").alias("window"))
     out = near.join(known, ["n", "window"])
     short = [r["n"] for r in known.where(F.col("n") < span).select("n").distinct().collect()]  # span - 1 numbers at most
+    if short:
+        w = docs.select(row_key().alias("_k"), words(F.col("text")).alias("_w"))
     for n in short:
-        own = known.where(F.col("n") == n).drop("n")
+        whole = known.where(F.col("n") == n).drop("n")
         runs = w.where(F.size("_w") >= n).select("_k", F.posexplode(windows("_w", n)).alias("start", "window"))
-        out = out.unionByName(runs.join(own, "window").withColumn("n", F.lit(n)).dropDuplicates(["_k", "start", "n"]))
+        out = out.unionByName(runs.join(whole, "window").withColumn("n", F.lit(n)).dropDuplicates(["_k", "start", "n"]))
     return out.select("_k", "start", "n", "item_ids")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
-    """docs with n_words, n_hit, item_ids (sorted), n_items, items_sha256 and contaminated."""
-    hits = hit_windows(docs, items, k, span)
+    """(doc_id, n_words, n_hit, item_ids (sorted), n_items, items_sha256, contaminated) of each document."""
+    sketch = sketched(docs, k, span)
+    hits = hit_windows(docs, sketch, items, k, span)
     # a document's hits are bounded by its own words: distinct (start, n)
     per = hits.groupBy("_k").agg(F.collect_set(F.struct("start", "n")).alias("_h"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
     covered = "cast(size(array_distinct(flatten(transform(_h, x -> sequence(x.start, x.start + x.n - 1))))) as bigint)"
     per = per.select("_k", "item_ids", F.expr(covered).alias("n_hit"))
-    none = F.array().cast("array<string>")
-    out = docs.withColumn("_k", row_key()).withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(per, "_k", "left").drop("_k")
-    out = out.withColumn("item_ids", F.coalesce("item_ids", none)).withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+    out = sketch.select("doc_id", "_k", "n_words").join(per, "_k", "left").drop("_k")
+    out = out.withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))).withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
     return out.withColumn("n_items", F.size("item_ids").cast("long")).withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -103,5 +114,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the contaminated ones."""
-    hits = hit_windows(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"), K, SPAN)
-    return docs.withColumn("_k", row_key()).join(hits.select("_k").distinct(), "_k", "left_anti").select(*docs.columns)
+    own = docs.select("doc_id", "text")
+    gone = written(hit_windows(own, sketched(own, K, SPAN), read(spark, sf_dir, "benchmark").select("item_id", "text"), K, SPAN).select("_k").distinct(), "hits")
+    gone = F.broadcast(gone) if small_enough(gone, row_bytes=32) else gone
+    return docs.withColumn("_k", row_key()).join(gone, "_k", "left_anti").select(*docs.columns)
