@@ -147,16 +147,20 @@ def history(graph: Graph, repo: str, branch: str | None = None, since: str | Non
     at = lambda p, name: graph.values(p, name)
     repos = at(graph.onto("sourceId"), "slug").where(F.col("slug") == repo).select(F.col("s").alias("repo"))
     own = graph.where(graph.onto("partOf")).select("s", F.col("o").alias("repo")).join(repos, "repo")
-    bounds = lambda c: [F.to_timestamp(c) >= F.to_timestamp(F.lit(as_datetime(since)))] * (since is not None) + [F.to_timestamp(c) <= F.to_timestamp(F.lit(as_datetime(until)))] * (until is not None)
+    at_least = F.to_timestamp(F.lit(as_datetime(since))) if since is not None else None
+    at_most = F.to_timestamp(F.lit(as_datetime(until))) if until is not None else None
+
+    def within(df: DataFrame) -> DataFrame:
+        df = df if at_least is None else df.where(F.to_timestamp("date") >= at_least)
+        return df if at_most is None else df.where(F.to_timestamp("date") <= at_most)
+
     cols = "type string, iri string, title string, sha string, number long, state string, base_ref string, date string"
     legs = []
     if kind in (None, "commit"):
         c = graph.instances("Commit").select("s").join(own, "s").join(at(G.CREATED, "date"), "s")
         if branch:
             c = c.join(at(graph.onto("historyBranch"), "b").where(F.col("b") == branch).select(F.col("s").alias("repo")), "repo")
-        for b in bounds("date"):
-            c = c.where(b)
-        c = c.join(at(G.TITLE, "title"), "s", "left").join(at(graph.onto("sourceId"), "sha"), "s", "left")
+        c = within(c).join(at(G.TITLE, "title"), "s", "left").join(at(graph.onto("sourceId"), "sha"), "s", "left")
         legs.append(c.selectExpr("'Commit' type", "s iri", "coalesce(title, '') title", "sha", "cast(null as long) number", "cast(null as string) state", "cast(null as string) base_ref", "date").orderBy(F.desc(F.to_timestamp("date")), "iri").limit(limit))
     if kind in (None, "pr"):
         p = graph.instances("PullRequest").select("s").join(own, "s")
@@ -167,8 +171,7 @@ def history(graph: Graph, repo: str, branch: str | None = None, since: str | Non
             p = p.where(F.col("number") == pr)
         if branch:
             p = p.where(F.col("base_ref") == branch)
-        for b in bounds("date"):
-            p = p.where(b)
+        p = within(p)
         legs.append(p.selectExpr("'PullRequest' type", "s iri", "coalesce(title, '') title", "cast(null as string) sha", "number", "state", "base_ref", "date").orderBy(F.desc("number"), "iri").limit(limit))
     if not legs:
         return graph.quads.sparkSession.createDataFrame([], cols)

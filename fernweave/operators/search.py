@@ -42,8 +42,8 @@ def matches(graph: Graph, term: Column | str, pages: DataFrame | None = None) ->
     return tagged.unionByName(titled).withColumnRenamed("s", "iri").distinct()
 
 
-def lexical(graph: Graph, term: str, limit: int = 10, row_cap: bool = True) -> DataFrame:
-    """(iri, type, title, category, priority, fix, matched_topics), the first `limit` by iri.
+def lexical(graph: Graph, term: str, limit: int | None = 10, row_cap: bool = True) -> DataFrame:
+    """(iri, type, title, category, priority, fix, matched_topics), the first `limit` by iri, or all (None).
 
     row_cap: rows are cut at six times the limit before they are folded to nodes, as the tool always
     had it (a node with many matching labels can push others out); without it every match counts.
@@ -52,12 +52,13 @@ def lexical(graph: Graph, term: str, limit: int = 10, row_cap: bool = True) -> D
     for p in ("category", "priority", "fix"):
         rows = rows.join(graph.values(graph.onto(p), p).withColumnRenamed("s", "iri"), "iri", "left")
     rows = rows.distinct()
-    if row_cap:
+    if row_cap and limit is not None:
         rows = rows.orderBy("iri", "type", "title", "category", "priority", "fix", "matched").limit(limit * 6)
     first = F.min(F.struct("type", "title", "category", "priority", "fix")).alias("x")
     out = rows.groupBy("iri").agg(first, F.array_sort(F.collect_set("matched")).alias("matched_topics"))
     fix = F.when(F.col("x.fix") != "", F.substring("x.fix", 1, 400))
-    return out.select("iri", local_name(F.col("x.type")).alias("type"), "x.title", "x.category", "x.priority", fix.alias("fix"), "matched_topics").orderBy("iri").limit(limit)
+    out = out.select("iri", local_name(F.col("x.type")).alias("type"), "x.title", "x.category", "x.priority", fix.alias("fix"), "matched_topics")
+    return out if limit is None else out.orderBy("iri").limit(limit)
 
 
 def dot(a: Column, b: Column) -> Column:
