@@ -175,7 +175,7 @@ def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             raw = np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
             yield pa.RecordBatch.from_arrays([packed(class_keys(s, bounds).view(np.uint8), 16), pa.array([raw[6 * i : 6 * j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["c", "s"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids, "rep").select("text")
+    own = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).alias("d").join(ids.alias("i"), F.col("d.rep").eqNullSafe(F.col("i.rep"))).select("text")
     sets = own.mapInArrow(run, "c binary, s binary")
     return sets.join(needed.select("c"), "c", "left_semi").dropDuplicates(["c"])
 
@@ -267,7 +267,7 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that have links."""
     leaves, stars, wide = tree_nodes(classes)
     first = written(likely(stars, classes), "pairs")
-    names = classes.select("c", "rep").where("rep is not null")
+    names = classes.select("c", "rep")
     inside = first.select(F.col("u").alias("c")).unionByName(first.select(F.col("v").alias("c"))).unionByName(wide.select("c")).distinct()
     sets = written(full_sets(docs, names.join(inside, "c", "left_semi")), "sets")
     links = written(confirmed(first, sets), "links")
