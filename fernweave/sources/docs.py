@@ -61,7 +61,7 @@ def front_matter(df: DataFrame) -> DataFrame:
         end = next((i for i, x in enumerate(lines[1:], 1) if x.strip() == "---"), None)
         try:
             got = yaml.safe_load("\n".join(lines[1:end])) if end else None
-        except yaml.YAMLError:
+        except (yaml.YAMLError, ValueError):
             return None
         if not isinstance(got, dict) or not got:
             return None

@@ -18,7 +18,7 @@ def unescaped(c: Column) -> Column:
     for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ("\\'", "'")):
         out = F.replace(out, F.lit(a), F.lit(b))
     code = F.split(out, r"(?=\\u[0-9A-Fa-f]{4})|(?=\\U[0-9A-Fa-f]{8})")
-    char = lambda digits: F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32BE")
+    char = lambda digits: F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
     small = lambda x: F.concat(char(F.substring(x, 3, 4)), F.substr(x, F.lit(7)))
     large = lambda x: F.concat(char(F.substring(x, 3, 8)), F.substr(x, F.lit(11)))
     each = F.transform(code, lambda x: F.when(x.rlike(r"^\\u[0-9A-Fa-f]{4}"), small(x)).when(x.rlike(r"^\\U[0-9A-Fa-f]{8}"), large(x)).otherwise(x))
