@@ -117,4 +117,5 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     own = docs.select("doc_id", "text")
     gone = written(hit_windows(own, sketched(own, K, SPAN), read(spark, sf_dir, "benchmark").select("item_id", "text"), K, SPAN).select("_k").distinct(), "hits")
     gone = F.broadcast(gone) if small_enough(gone, row_bytes=32) else gone
-    return docs.withColumn("_k", row_key()).join(gone, "_k", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__row_key", row_key())
+    return keyed.join(gone, keyed["__row_key"] == gone["_k"], "left_anti").select(*docs.columns)

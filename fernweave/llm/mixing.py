@@ -125,6 +125,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of documents."""
-    out = mix(docs)
-    return out.where("copies > 0").select(*docs.columns, "size", "source_size", "target", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    """The mix itself: every document as often as it is taken, with copy (from 1), size, source_size and target beside its columns."""
+    own = ["size", "source_size", "target"]
+    kept = [c for c in docs.columns if c not in (*own, "copy")]
+    return mix(docs.select(*kept)).where("copies > 0").select(*kept, *own, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))

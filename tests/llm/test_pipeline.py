@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from fernweave.llm import queries
@@ -35,3 +36,43 @@ def test_stages(spark):
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) if n.startswith("op")]
     assert len(queries.QUERIES) == 10
+
+
+def folder(spark, path, docs, labels=(), items=()):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def clashing(docs):
+    for name in ("size", "copy", "target", "_k", "kept", "n", "c", "start", "score"):
+        docs = docs.withColumn(name, F.lit("x"))
+    return docs
+
+
+def test_stages_on_edges(spark, tmp_path, edge_docs):
+    sf = folder(spark, tmp_path / "sf", edge_docs, [(1, 1, 0), (12, 0, 0), (None, 1, None), (7, None, 0)], [(1, "One"), (None, None), (2, "")])
+    docs = clashing(edge_docs)
+    for i, (_, stage) in enumerate(C.STAGES):
+        out = stage(spark, docs, sf)
+        out.write.parquet(f"{tmp_path}/{i}")
+        if i < len(C.STAGES) - 1:
+            assert out.columns == docs.columns
+            assert out.where("size != 'x' or _k != 'x' or c != 'x'").count() == 0
+    assert C.run(spark, sf).count() >= 0
+
+
+def test_stages_on_empty_tables(spark, tmp_path, no_docs):
+    sf = folder(spark, tmp_path / "sf", no_docs)
+    assert C.run(spark, sf).count() == 0
+    for name, q in queries.QUERIES.items():
+        if name not in ("op5_url_filters", "op9_warc"):
+            assert q(spark, sf).count() == 0, name
+
+
+def test_queries_on_edges(spark, tmp_path, edge_docs, edge_rows):
+    sf = folder(spark, tmp_path / "sf", clashing(edge_docs), [(1, 1, 0)], [(1, "One")])
+    for name, q in queries.QUERIES.items():
+        if name not in ("op5_url_filters", "op9_warc"):
+            assert q(spark, sf).count() == len(edge_rows), name
