@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import server
 from .config import configured, paths
 from .operators import explore, guard, search, snapshot
 from .operators.cards import build_cards
@@ -16,7 +17,7 @@ from .operators.embed import HashingEmbedder, embed_query, read_index, write_ind
 from .plans.construct import Construct, issue_comments
 from .sources import docs, git, manifest, ntriples, tracker
 
-COMMANDS = ("search", "path", "history", "build", "digest", "parts", "materialise", "embed", "guard", "check", "preflight")
+COMMANDS = ("search", "path", "history", "build", "digest", "parts", "materialise", "embed", "guard", "check", "preflight", "serve")
 
 
 def session(name: str = "fernweave") -> SparkSession:
@@ -118,6 +119,7 @@ def parser() -> argparse.ArgumentParser:
     command("materialise").add_argument("folder")
     command("check").add_argument("manifest")
     command("preflight").add_argument("terms", nargs="+")
+    command("serve").add_argument("--port", type=int, help="HTTP; without it requests are lines on stdin")
     g = command("guard")
     g.add_argument("previous")
     g.add_argument("new")
@@ -149,6 +151,9 @@ def main(argv: list[str] | None = None) -> int:
         r = build(spark, a)
         print(json.dumps(r))
         return int(any(x["status"] == "failed" for x in r["sources"]))
+    elif a.command == "serve":
+        own = server.loaded(spark, a.graph, a.vectors, a.format)
+        server.http_server(own, a.port).serve_forever() if a.port else server.serve_lines(own)
     elif a.command == "materialise":
         print(ntriples.materialise(spark, a.folder, a.graph))
     elif a.command == "guard":
