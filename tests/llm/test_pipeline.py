@@ -1,12 +1,23 @@
+import hashlib
+import math
 import os
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from fernweave.llm import queries
+from fernweave.llm import quality_rules, queries
+from fernweave.llm.common import text_bytes
 from fernweave.llm.decontaminate import decontaminate
-from fernweave.llm.pii import base_spans
+from fernweave.llm.mixing import targets
+from fernweave.llm.pii import base_spans, find, redacted
+from fernweave.llm.pii_model import trained
+
+from .test_decontaminate import brute as brute_hits
+from .test_graphs import brute_components
+from .test_quality import brute as statistics
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -76,3 +87,48 @@ def test_queries_on_edges(spark, tmp_path, edge_docs, edge_rows):
     for name, q in queries.QUERIES.items():
         if name not in ("op5_url_filters", "op9_warc"):
             assert q(spark, sf).count() == len(edge_rows), name
+
+
+def brute_mix(rows):
+    """(doc_id, text, copies) by one sort a source."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = {}
+    for r in rows:
+        total[r[3]] = total.get(r[3], 0) + size(r[1])
+    out = []
+    for source, target in targets(list(total.items()), (3, 1, 2), 1.5, 2):
+        own = []
+        for r in rows:
+            if r[3] == source:
+                u = (int(hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest()[:13], 16) + 1) / 2**52
+                weight = max(0.05, 1 - 4 * (sum(c in "#*$%&|<>!" for c in r[1]) / max(1, len(r[1]))))
+                own.append((-math.log(u) / weight, r[0], r[1]))
+        epochs = math.floor(target / total[source]) if total[source] else 0
+        budget, upto = target - epochs * total[source], 0
+        for _, i, t in sorted(own):
+            n = size(t)
+            drawn = budget > 0 and upto < budget and upto + n / 2 <= budget
+            upto += n
+            out.append((i, t, epochs + drawn))
+    return sorted(x for x in out if x[2])
+
+
+def test_run_against_brute_force(spark, tmp_path, many_docs, many_rows):
+    labels = [(r[0], int(r[0] % 10 > 0), 0) for r in many_rows[:150]]
+    items = [(i, " ".join(many_rows[i][1].split()[2:16])) for i in range(0, 100, 17)]
+    sf = folder(spark, tmp_path / "sf", many_docs, labels, items)
+    model, net = quality_rules.fitted(spark, sf), trained()
+    rows = []
+    for r in many_rows:
+        words, _, _, _, again = statistics(r[1])
+        data, offsets, _ = text_bytes(pa.array([r[1]], pa.large_string()))
+        if words >= 10 and 100 * again <= 20 * words and model.score(data, offsets)[0] >= 0.3:
+            rows.append(r)
+    kept = {i for i, _, _, k in brute_components(rows) if k}
+    rows = [r for r in rows if r[0] in kept]
+    clean = {r[0] for r in brute_hits([(r[0], r[1]) for r in rows], items) if not r[-1]}
+    rows = [r for r in rows if r[0] in clean]
+    rows = [(r[0], redacted(r[1], [s for x in find([r[1]], net)[0] for s in x]), *r[2:]) for r in rows]
+    want = [(i, t, k + 1) for i, t, n in brute_mix(rows) for k in range(n)]
+    have = sorted((r.doc_id, r.text, r.copy) for r in C.run(spark, sf).collect())
+    assert have == sorted(want) and len(kept) > len(clean) > 20
