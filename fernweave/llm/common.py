@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,7 +18,12 @@ SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch: long texts go to Python in batches of fewer rows, which bounds the memory of tasks and workers.
+BATCH_BYTES = 4 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +55,15 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives memory that is free in this process back to the system, where the C library can: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z as a-z, other characters as they are: by the quick `lower` where it can't change others, else letter by letter."""
     return F.when(text.rlike("[^\\x00-\\x7F\u00df-\u00f6\u00f8-\u00ff]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
@@ -93,3 +108,5 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, col
+    trim()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import find_words, gram_buckets, statistics, word_hashes
-from .common import pieces, read, text_bytes
+from .common import pieces, read, text_bytes, trim
 
 SAMPLE, BITS, GRAM = 3000, 16, 4
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_SCORE = 10, 20, 0.3
@@ -74,45 +74,53 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def sparse(texts: list[str | None], bits: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, share) of texts, in the order of rows. A few texts at a time bound the memory."""
+    data, offsets, _ = text_bytes(pa.array(texts, pa.large_string()))
+    rows, cols, vals = [], [], []
+    for k, (b, bounds) in enumerate(families(data, offsets, bits, gram)):
+        of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        key, count = np.unique(of.astype(np.int64) << 32 | b, return_counts=True)
+        r = (key >> 32).astype(np.int32)
+        rows.append(r)
+        cols.append(((key & 0xFFFFFFFF) + (k << bits)).astype(np.int32))
+        vals.append((count / np.maximum(np.diff(bounds), 1)[r]).astype(np.float32))
+    r, c, v = (np.concatenate(x) for x in (rows, cols, vals))
+    order = np.argsort(r, kind="stable")
+    return r[order], c[order], v[order]
+
+
 def train(texts: list[str | None], y: np.ndarray, rounds: int = 60, l2: float = 1e-4, bits: int = BITS, gram: int = GRAM) -> Model:
     """Accelerated gradient descent on three quarters of the rows, Platt scaling on the last quarter."""
     m = Model(bits, gram)
     if len(y) < 8 or y.min() == y.max():
         return m
-    data, offsets, _ = text_bytes(pa.array(texts, pa.large_string()))
     fit = np.arange(len(y)) % 4 != 0
     if len(set(y[fit])) < 2 or len(set(y[~fit])) < 2:
         fit[:] = True
-    n = len(y)
-    rows, cols, vals = [], [], []
-    for k, (b, bounds) in enumerate(families(data, offsets, bits, gram)):
-        of = np.repeat(np.arange(n), np.diff(bounds))
-        key, count = np.unique(of.astype(np.int64) << 32 | b, return_counts=True)
-        r = key >> 32
-        rows.append(r)
-        cols.append((key & 0xFFFFFFFF) + (k << bits))
-        vals.append(count / np.maximum(np.diff(bounds), 1)[r])
-    rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    order = np.argsort(rows, kind="stable")
-    rows, cols, vals = rows[order], cols[order], vals[order]
+    n, size = len(y), 2 << bits
+    blocks = [(at, *sparse(texts[at : at + 64], bits, gram)) for at in range(0, n, 64)]  # products are made a block at a time
     # features have the same say whatever their usual share: divided by the root of their mean square
-    rms = np.sqrt(np.bincount(cols, vals * vals, 2 << bits) / n) + 1e-3
-    vals = vals / rms[cols] / np.sqrt(2 << 5)
+    rms = np.sqrt(sum(np.bincount(c, v * v, size) for _, _, c, v in blocks) / n) + 1e-3
+    blocks = [(at, r, c, (v / rms[c] / np.sqrt(2 << 5)).astype(np.float32)) for at, r, c, v in blocks]
+    norm = np.concatenate([np.bincount(r, v * v, min(64, n - at)) for at, r, _, v in blocks])
+    values = lambda w: np.concatenate([np.bincount(r, w[c] * v, min(64, n - at)) for at, r, c, v in blocks])
     balance = np.where(y == 1, 0.5 / y[fit].mean(), 0.5 / (1 - y[fit].mean())) * fit
-    w, last, bias, step, t = np.zeros(2 << bits), np.zeros(2 << bits), 0.0, 0.5, 1.0
-    norm = np.bincount(rows, vals * vals, n)
+    w, last, bias, t = np.zeros(size), np.zeros(size), 0.0, 1.0
     step = 4.0 / max(1.0, np.percentile(norm, 99))
     look = w
     for _ in range(rounds):
-        p = sigmoid(np.bincount(rows, look[cols] * vals, n) + bias)
-        e = balance * (p - y) / fit.sum()
-        w = look - step * fit.sum() / 8 * (np.bincount(cols, e[rows] * vals, 2 << bits) + l2 * look)
+        e = balance * (sigmoid(values(look) + bias) - y) / fit.sum()
+        g = l2 * look
+        for at, r, c, v in blocks:
+            g = g + np.bincount(c, e[at + r] * v, size)
+        w = look - step * fit.sum() / 8 * g
         bias -= 0.5 * e.sum()
         t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         look, last = w + (was - 1) / t * (w - last), w
     flat = (w / rms / np.sqrt(2 << 5)).astype(np.float32)
     m.weights, m.bias, m.ready = [flat[: 1 << bits], flat[1 << bits :]], float(bias), True
-    z, held = m.raw(data, offsets), ~fit if (~fit).any() else fit
+    z, held = values(w) + bias, ~fit if (~fit).any() else fit
     m.scale, m.shift = platt(z[held], y[held])
     return m
 
@@ -135,7 +143,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     """Statistics, base limits, score and decision for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             data, offsets, _ = text_bytes(b.column(1))
             s = statistics(data, offsets)
             failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
@@ -146,9 +154,22 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
-    """The model from the labelled rows of a corpus. Its bounded sample is all that reaches the driver."""
-    rows = labelled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), sample).toArrow().sort_by("doc_id")
-    return train(rows.column("text").to_pylist(), np.asarray(rows.column("y").to_pylist(), int))
+    """The model from the labelled rows of a corpus: trained in one task on its bounded sample, so the driver gets the weights only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        m = train([t for _, t, _ in rows], np.asarray([y for *_, y in rows], int))
+        if m.ready:
+            trim()
+            yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes() for w in m.weights], pa.binary()), "k": pa.array([0, 1], pa.int32()), "bias": [m.bias] * 2, "scale": [m.scale] * 2, "shift": [m.shift] * 2})
+
+    rows = labelled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), sample)
+    got = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "w binary, k int, bias double, scale double, shift double").collect()
+    m = Model()
+    if got:
+        m.weights = [np.frombuffer(bytes(r["w"]), np.float32) for r in sorted(got, key=lambda r: r["k"])]
+        m.bias, m.scale, m.shift, m.ready = got[0]["bias"], got[0]["scale"], got[0]["shift"], True
+    return m
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +183,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             data, offsets, _ = text_bytes(b.column(at))
             s = statistics(data, offsets)
             failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
