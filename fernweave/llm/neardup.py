@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import find_words, lowered, mixed, shingle_hashes, word_hashes
-from .common import drop_written, pieces, read, small_enough, text_bytes, written
+from .common import drop_written, pieces, read, small_enough, text_bytes, trim, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -98,7 +98,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, n, c, sig): set size, class key and MinHash bytes: the path values in full, then a byte of each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             data, offsets, _ = text_bytes(b.column(1))
             s, bounds = shingle_sets(data, offsets)
             m = min_hashes(s, bounds)
@@ -123,6 +123,7 @@ def paths(classes: DataFrame) -> DataFrame:
                     node = mixed(node * np.uint64(0x9E3779B97F4A7C15) + m[:, r * DEPTH + level])
                     cols.append(pa.array(node.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["c", *(f"p{i}" for i in range(DEPTH))])
+        trim()
 
     return classes.select("c", "sig").mapInArrow(run, "c binary, " + ", ".join(f"p{i} long" for i in range(DEPTH)))
 
@@ -160,6 +161,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array((x == y).sum(1) >= AGREE))
+        trim()
 
     return rows.select("u", "v", "bu", "bv").mapInArrow(run, "u binary, v binary")
 
@@ -170,7 +172,7 @@ def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if small_enough(ids, row_bytes=16) else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             s, bounds = shingle_sets(*text_bytes(b.column(0))[:2])
             raw = np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
             yield pa.RecordBatch.from_arrays([packed(class_keys(s, bounds).view(np.uint8), 16), pa.array([raw[6 * i : 6 * j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["c", "s"])
@@ -201,6 +203,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             keep = [alike(unpacked(x.as_py()), unpacked(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return rows.select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
 
@@ -241,6 +244,7 @@ def block_links(rows: DataFrame) -> DataFrame:
                 if a != b:
                     up[a] = b
                     out.append((cs[i], cs[j]))
+        trim()
         return pd.DataFrame(out, columns=["u", "v"])
 
     return rows.groupBy("g").applyInPandas(links, "u binary, v binary")
@@ -281,11 +285,17 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     more = second.select(F.col("u").alias("c")).unionByName(second.select(F.col("v").alias("c"))).distinct().join(sets.select("c"), "c", "left_anti")
     sets2 = written(full_sets(docs, names.join(more, "c", "left_semi")), "sets")
     found = confirmed(second, sets.unionByName(sets2))
-    found = found.unionByName(block_links(wide_groups(wide, comp, sets)))
-    links = written(links.unionByName(found), "links")
-    for x in (sets, sets2, first, second):
+    found = written(found.unionByName(block_links(wide_groups(wide, comp, sets))), "links")
+    for x in (sets, sets2, first, second, links):
         drop_written(x)
-    return components(links)
+    if found.isEmpty():
+        return comp.select(F.col("c").alias("node"), F.col("comp").alias("component"))
+    # the new links join components: only these are connected again
+    top = lambda end: comp.select(F.col("c").alias(end), F.col("comp").alias(f"_{end}"))
+    edges = found.join(top("u"), "u", "left").join(top("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    joined = written(components(edges), "comp")
+    moved = comp.join(joined, F.col("comp") == F.col("node"), "left").select(F.col("c").alias("node"), F.coalesce("component", "comp").alias("component"))
+    return moved.unionByName(joined.join(comp.select(F.col("c").alias("node")), "node", "left_anti"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -305,10 +315,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that aren't their group's representative; rows of one id and text are one document, kept once."""
+    """docs without those that aren't their group's representative; rows of one id and text are one document, kept once.
+
+    The ids that go are broadcast if they are counted to be few, so that texts aren't shuffled for them.
+    """
+    side = lambda ids: F.broadcast(ids) if small_enough(ids, row_bytes=16) else ids
     made = written(near_dedup(docs.select("doc_id", "text")), "dedup")
-    gone = made.where("not kept").select("doc_id").distinct()
-    again = made.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    many = left.join(again, "doc_id", "left_semi").unionByName(left.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
-    return left.where("doc_id is not null").join(again, "doc_id", "left_anti").unionByName(many).select(*docs.columns)
+    gone = written(made.where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(side(gone), "doc_id", "left_anti")
+    again = written(made.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "again")
+    none = again.isEmpty()
+    many = left.where("doc_id is null") if none else left.where("doc_id is null").unionByName(left.join(side(again), "doc_id", "left_semi").select(*left.columns))
+    once = left.where("doc_id is not null") if none else left.where("doc_id is not null").join(side(again), "doc_id", "left_anti")
+    return once.select(*docs.columns).unionByName(many.dropDuplicates(["doc_id", "text"]).select(*docs.columns))
