@@ -137,18 +137,21 @@ def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         sizes = rows.groupBy(p).agg(F.count("*").alias("_m")).where("_m > 1").withColumnRenamed(p, "_node")
         rows = rows.drop("_m").join(sizes, F.col(p) == F.col("_node")).drop("_node")
         rows = written(rows, "tree")
-        own = rows.where(F.col("_m") <= LEAF).select(F.col(p).alias("node"), "c")
+        own = written(rows.where(F.col("_m") <= LEAF).select(F.col(p).alias("node"), "c"), "leaves")
         leaves.append(own)
         low = own.groupBy("node").agg(F.min("c").alias("u"))
-        stars.append(own.join(low, "node").select("u", F.col("c").alias("v")))
+        stars.append(written(own.join(low, "node").select("u", F.col("c").alias("v")).where("u != v"), "stars"))
         rows = rows.where(F.col("_m") > LEAF)
         if score is None:  # how many share a class's tokens, over the trees
             score = rows.groupBy("c").agg(F.sum(F.log(F.col("_m").cast("double"))).alias("_s"))
             rows = written(rows.join(score, "c"), "tree")
         pivot = rows.groupBy(p).agg(F.max(F.struct("_s", "c")).alias("_p")).select(F.col(p).alias("_node"), F.col("_p.c").alias("u"))
-        stars.append(rows.join(pivot, F.col(p) == F.col("_node")).select("u", F.col("c").alias("v")))
+        stars.append(written(rows.join(pivot, F.col(p) == F.col("_node")).select("u", F.col("c").alias("v")).where("u != v"), "stars"))
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    return union(leaves), union(stars).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), rows.select(F.col(f"p{DEPTH - 1}").alias("node"), "c")
+    pairs = written(union(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    for x in stars:
+        drop_written(x)
+    return union(leaves), pairs, rows.select(F.col(f"p{DEPTH - 1}").alias("node"), "c")
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
