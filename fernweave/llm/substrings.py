@@ -1,10 +1,12 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut in sentences (up to sentence marks with white space after them, or a line's end; the
-pieces put together are the text). Every run of `run` consecutive sentences with `min_words` words or
-more is hashed, white space made even, and so is a single sentence of `long_words` or more. Equal runs
-of the whole corpus meet in one group; its first one, by doc_id, text hash and place, stays, and
-every sentence that a later one covers is removed.
+pieces put together are the text). Every run of `run` consecutive sentences is hashed, white space made
+even, and so is a single sentence of `long_words` or more. Where a run has fewer than `min_words` words,
+it is extended sentence by sentence until it has them: forward from its first sentence, and backward from
+its last. So a repeated passage of `run` sentences and `min_words` words is covered whole, however short
+its sentences. Equal runs of the whole corpus meet in one group; its first one, by doc_id, text hash and
+place, stays, and every sentence that a later one covers is removed.
 
 A group is a count and a minimum, summed map-side before the shuffle, so a run that a third of all
 rows share is a few rows a task. Runs are joined only with those groups that have more than one
@@ -32,13 +34,22 @@ def sentences(text: Column) -> Column:
 
 
 def runs(run: int, min_words: int, long_words: int) -> Column:
-    """(start, n, a, b) of the runs of the sentences `_p`: first sentence, sentences, 128 bits of hash."""
+    """(start, n, a, b) of the runs of the sentences `_p`: first sentence, sentences, 128 bits of hash.
+
+    A sentence has a word or more, so an extended run has `min_words` sentences at most.
+    """
     even = r"transform(_p, x -> trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ')))"
     hashed = "struct({i} as start, {n} as n, xxhash64({t}) as a, xxhash64({t}, 'span') as b)"
-    at = f"array_join(slice(q, i + 1, {run}), ' ')"
-    many = f"""transform(filter(sequence(0, greatest(size(q) - {run}, 0)), i -> size(q) >= {run} and size(split({at}, ' ')) >= {min_words}), i -> {hashed.format(i="i", n=run, t=at)})"""
-    one = f"""transform(filter(sequence(0, greatest(size(q) - 1, 0)), i -> size(q) >= 1 and size(split(q[i], ' ')) >= {long_words}), i -> {hashed.format(i="i", n=1, t="q[i]")})"""
-    return F.expr(f"transform(array({even}), q -> concat({many}, {one}))[0]")
+    words = "aggregate(slice(w, {i} + 1, {n}), 0, (x, y) -> x + y)".format
+    longer = f"sequence({run + 1}, {max(run + 1, min_words)})"
+    ahead = f"case when {words(i='i', n=run)} >= {min_words} then {run} else get(filter({longer}, n -> i + n <= size(q) and {words(i='i', n='n')} >= {min_words}), 0) end"
+    ahead = f"filter(transform(sequence(0, greatest(size(q) - {run}, 0)), i -> struct(i as i, case when size(q) >= {run} then {ahead} end as n)), r -> r.n is not null)"
+    # only where the last `run` sentences have too few words, and no run ahead is the same
+    back = f"case when j >= {run} and {words(i=f'(j - {run - 1})', n=run)} < {min_words} then get(filter({longer}, n -> n <= j + 1 and {words(i='(j - n + 1)', n='n')} >= {min_words}), 0) end"
+    back = f"filter(transform(transform(sequence(0, greatest(size(q) - 1, 0)), j -> {back}), (n, j) -> struct(j - n + 1 as i, n as n)), r -> r.n is not null and {words(i='r.i', n='r.n - 1')} >= {min_words})"
+    many = f"""transform(concat({ahead}, {back}), r -> {hashed.format(i="r.i", n="r.n", t="array_join(slice(q, r.i + 1, r.n), ' ')")})"""
+    one = f"""transform(filter(sequence(0, greatest(size(q) - 1, 0)), i -> size(q) >= 1 and w[i] >= {long_words}), i -> {hashed.format(i="i", n=1, t="q[i]")})"""
+    return F.expr(f"transform(array({even}), q -> transform(array(transform(q, x -> size(split(x, ' ')))), w -> concat({many}, {one}))[0])[0]")
 
 
 def repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from fernweave.llm.substrings import dedup
@@ -54,3 +55,42 @@ def test_empty(no_docs):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e. f g h i j. ", 7, 8)], "doc_id long, text string, n_removed int, start int")
     assert dedup(df).select("n_removed", "start").first() == (0, 8)
+
+
+def brute_extended(rows, run=2, least=8, long_words=30):
+    """brute, with runs of too few words extended: all (first, last) of which no shorter run with the same first, or the same last, has enough."""
+    docs = sorted({(r[0], r[1]) for r in rows})
+    spans, cut = {}, {d: SENTENCE.findall(d[1]) for d in docs}
+    for d in docs:
+        q = [re.sub(r"[\x20\x09-\x0D]+", " ", s).strip(" ") for s in cut[d]]
+        enough = lambda i, n: len(" ".join(q[i : i + n]).split(" ")) >= least  # noqa: E731, B023
+        for i in range(len(q)):
+            for n in range(1, len(q) - i + 1):
+                t = " ".join(q[i : i + n])
+                ahead = n >= run and enough(i, n) and (n == run or not enough(i, n - 1))
+                back = n >= run and enough(i, n) and (n == run or not enough(i + 1, n - 1))
+                if ahead or back or (n == 1 and len(t.split(" ")) >= long_words):
+                    spans.setdefault(t, []).append((d, i, n))
+    gone = {d: set() for d in docs}
+    for places in spans.values():
+        for d, i, n in places[1:]:
+            gone[d] |= set(range(i, i + n))
+    return sorted(((d[0], "".join(s for i, s in enumerate(cut[d]) if i not in gone[d]), len(cut[d]), len(gone[d])) for d in docs), key=repr)
+
+
+def test_passages_of_short_lines(spark, rows):
+    lines = "".join(f"a{i} b{i} c{i}\n" for i in range(20))  # 60 words, 6 in two lines
+    mixed = "One two three four five six seven eight nine ten. Ja. Nein. "
+    made = [(i, f"Here begins the document that has number {i}.\n{lines}{mixed}And now it ends as it has begun with {i}.") for i in range(5)]
+    made += [(9, "x y z\n"), (10, "x y z\n"), (11, ""), (12, "p q r\ns t\nu v w\n"), (13, "p q r\ns t\nu v w\n"), (14, "x y z\nx y z\n")]
+    out = got(spark.createDataFrame(made, "doc_id long, text string"), rows)
+    assert out == brute_extended(made)
+    left = {r[0]: r for r in out}
+    assert left[0][3] == 0 and all(left[i][3] == 23 and "a7" not in left[i][1] and "Nein" not in left[i][1] for i in range(1, 5))
+    assert left[13][1] == "" and left[10][1] == "x y z\n"
+
+
+def test_short_sentences_against_brute_force(spark, rows):
+    rng = random.Random(3)
+    made = [(i, "".join(" ".join(rng.choice("aab") for _ in range(rng.randint(1, 4))) + ".\n" for _ in range(rng.randint(0, 20)))) for i in range(90)]
+    assert got(spark.createDataFrame(made, "doc_id long, text string"), rows) == brute_extended(made)
