@@ -728,6 +728,11 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.heading_anchor(F.substring(F.substring_index("text", "\n", 1), 1, 60)).alias("anchor"))
 
 
+@query("f19_anchor_whole", "WITH r AS (SELECT doc_id, regexp_extract(text, '^[^' || chr(10) || ']*', 0) AS x FROM documents) SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(x), '[^\\p{L}\\p{M}\\p{N}_\\s-]', '', 'g')), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor FROM r")
+def _(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", X.heading_anchor(F.substring_index("text", "\n", 1)).alias("anchor"))
+
+
 @query("f23_hash", "SELECT page_id, sha256(html) AS bare, 'sha256:' || sha256(html) AS named FROM pages")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", page_hash(F.col("html")).alias("bare"), page_hash(F.col("html"), "sha256:").alias("named"))

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import pytest
 
@@ -47,3 +48,16 @@ def test_sections(spark):
     assert Q.QUERIES["f22_markdown"](spark, SMALL).where("n_sections >= 2").count() == 200
     assert Q.QUERIES["i2_embed"](spark, SMALL).where("norm = 1").count() == 200
     assert Q.QUERIES["s20_crawl"](spark, SMALL).count() > 0
+
+
+def test_anchors_of_all_first_lines(spark):
+    """Every language and the whole line, by the rule in Python."""
+
+    def anchor(text):
+        s = re.sub(r"[^\w\s-]", "", text.split("\n")[0].lower()).strip()
+        return re.sub("-+", "-", re.sub(r"[\s_]+", "-", s)).strip("-")
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    have = {r.doc_id: r.anchor for r in Q.QUERIES["f19_anchor_whole"](spark, SMALL).collect()}
+    assert have == {r.doc_id: anchor(r.text) for r in docs}
+    assert len({r.lang for r in docs}) > 1 and max(map(len, have.values())) > 60
