@@ -67,7 +67,9 @@ def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of runs of k words; the run at i is that of the words i to i + k - 1."""
+    """Hashes of runs of k words; the run at i is that of the words i to i + k - 1. Fewer than k words have none."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
     out = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for j in range(k):
         out = out * np.uint64(FACTOR) + h[j : len(h) - k + 1 + j]

@@ -53,6 +53,12 @@ def test_near_copies_edges(edge_docs, edge_rows, no_docs, rows):
     assert N.near_dedup(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("words", range(7))
+def test_few_words_in_all(spark, rows, words):
+    made = [(1, " ".join("abcdef"[:words]))]
+    assert rows(N.near_dedup(spark.createDataFrame(made, "doc_id long, text string"))) == brute_components(made)
+
+
 def test_large_groups(spark, rows, monkeypatch):
     """Leaves and blocks so small that every step has to be taken; chains of edits, so that no pivot is near all."""
     for name, v in (("LEAF", 3), ("BLOCK", 8), ("DEPTH", 2), ("TREES", 6)):
