@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import find_words, lowered, mixed, shingle_hashes, word_hashes
-from .common import drop_written, pieces, read, small_enough, text_bytes, trim, written
+from .common import drop_written, pieces, read, row_key, small_enough, text_bytes, trim, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -94,8 +94,8 @@ def min_hashes(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, c, sig): set size, class key and MinHash bytes: the path values in full, then a byte of each hash."""
+def sketched(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n, c, sig): set size, class key and MinHash bytes: the path values in full, then a byte of each hash. The long columns `carry` go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 1 << 20):
@@ -103,9 +103,9 @@ def sketched(docs: DataFrame) -> DataFrame:
             s, bounds = shingle_sets(data, offsets)
             m = min_hashes(s, bounds)
             sig = np.concatenate([np.ascontiguousarray(m[:, : TREES * DEPTH]).view(np.uint8), (m & 0xFF).astype(np.uint8)], 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), packed(class_keys(s, bounds).view(np.uint8), 16), packed(sig, sig.shape[1])], names=["doc_id", "n", "c", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), packed(class_keys(s, bounds).view(np.uint8), 16), packed(sig, sig.shape[1]), *b.columns[2:]], names=["doc_id", "n", "c", "sig", *carry])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, c binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry).mapInArrow(run, ", ".join(["doc_id long, n long, c binary, sig binary", *(f"{x} long" for x in carry)]))
 
 
 def paths(classes: DataFrame) -> DataFrame:
@@ -263,11 +263,11 @@ def wide_groups(wide: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(sets, "c")
 
 
-def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes), written: (doc_id, n, c) of each document, and (c, rep, n, sig) of each class with shingles."""
-    made = written(sketched(docs), "sketch")
+def classes_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes), written: (doc_id, n, c, *carry) of each document, and (c, rep, n, sig) of each class with shingles."""
+    made = written(sketched(docs, carry), "sketch")
     classes = written(made.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
-    return made.select("doc_id", "n", "c"), classes
+    return made.select("doc_id", "n", "c", *carry), classes
 
 
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -301,16 +301,16 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return moved.unionByName(joined.join(comp.select(F.col("c").alias("node")), "node", "left_anti"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each document."""
-    rows, classes = classes_of(docs)
+def near_dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, *carry), a row for each document."""
+    rows, classes = classes_of(docs, carry)
     comp = written(links_of(docs, classes), "comp").select(F.col("node").alias("c"), "component")
     named = classes.select("c", "rep").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(lowest, "component").select("c", "component_id")
     out = rows.where("n > 0").join(named, "c").unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *carry)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,14 +320,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that aren't their group's representative; rows of one id and text are one document, kept once.
 
-    The ids that go are broadcast if they are counted to be few, so that texts aren't shuffled for them.
+    What goes is named by a key of id and text, as an id may have several texts, or be null. The keys
+    are broadcast if they are counted to be few, so that texts aren't shuffled for them.
     """
-    side = lambda ids: F.broadcast(ids) if small_enough(ids, row_bytes=16) else ids
-    made = written(near_dedup(docs.select("doc_id", "text")), "dedup")
-    gone = written(made.where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(side(gone), "doc_id", "left_anti")
+    side = lambda few, n: F.broadcast(few) if small_enough(few, row_bytes=n) else few
+    key = [row_key()["a"].alias("_ka"), row_key()["b"].alias("_kb")]
+    made = written(near_dedup(docs.select("doc_id", "text", *key), ("_ka", "_kb")), "dedup")
+    gone = written(made.where("not kept").select(F.col("_ka").alias("_ga"), F.col("_kb").alias("_gb")).distinct(), "gone")
+    left = docs.join(side(gone, 24), (row_key()["a"] == F.col("_ga")) & (row_key()["b"] == F.col("_gb")), "left_anti")
     again = written(made.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "again")
     none = again.isEmpty()
-    many = left.where("doc_id is null") if none else left.where("doc_id is null").unionByName(left.join(side(again), "doc_id", "left_semi").select(*left.columns))
-    once = left.where("doc_id is not null") if none else left.where("doc_id is not null").join(side(again), "doc_id", "left_anti")
+    many = left.where("doc_id is null") if none else left.where("doc_id is null").unionByName(left.join(side(again, 16), "doc_id", "left_semi").select(*left.columns))
+    once = left.where("doc_id is not null") if none else left.where("doc_id is not null").join(side(again, 16), "doc_id", "left_anti")
     return once.select(*docs.columns).unionByName(many.dropDuplicates(["doc_id", "text"]).select(*docs.columns))

@@ -80,6 +80,14 @@ def test_stage_keeps_one_of_each(spark, edge_docs):
     assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(8) == 1 and 9 not in ids
 
 
+def test_stage_decides_by_id_and_text(spark, rows):
+    """Ids with several texts and rows without id, where some are near copies and some aren't."""
+    x, y, z = (" ".join(f"{a}{i}" for i in range(60)) for a in "xyz")
+    made = [(1, x), (5, x + " end"), (5, "all of this is quite another text"), (7, x + " tail"), (7, y), (8, y + " end"), (None, y + " tail"), (None, z), (None, z), (3, None), (3, x + " x")]
+    left = rows(N.stage_near_dedup(spark, spark.createDataFrame(made, "doc_id long, text string"), ""))
+    assert left == sorted([made[0], made[2], made[4], made[7], made[9]], key=repr)
+
+
 def test_components(spark, rows):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(400, 470)] + [(500, i) for i in range(501, 560)]
