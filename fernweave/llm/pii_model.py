@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import functools
 import random
+from collections.abc import Iterator
 
 import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
 #: 0: outside; then beginning and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-SINGLES = "@.-+()_%:/=\"',#[]"
+SINGLES = "@.-+()_%:/=\"',#[]{}"
 N_CLASSES = 8 + len(SINGLES)
 
 
@@ -75,7 +76,7 @@ def sample(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
 
     def email() -> str:
         name, host, top = word()[:8] + rng.choice(("", "." + number(2), "_" + word()[:4])), rng.choice(("mail", "post", "corp")) + rng.choice(("", number(1))), rng.choice(("com", "org", "example.com", "de", "co.uk"))
-        return rng.choice((f"{name}@{host}.{top}", f"{name}@{host}.{top}", f"{name} @ {host}.{top}", f"{name}(at){host}.{top}", f"{name} [at] {host}.{top}", f"{name}@{host}(dot){top}"))
+        return rng.choice((f"{name}@{host}.{top}", f"{name}@{host}.{top}", f"{name} @ {host}.{top}", f"{name}(at){host}.{top}", f"{name} [at] {host}.{top}", f"{name}@{host}(dot){top}", f"{name} (AT) {host}.{top}", f"{name}{{at}}{host}.{top}", f"{name} at {host} dot {top.replace('.', ' dot ')}"))
 
     def ip() -> str:
         return rng.choice((".", ".", ".", "[.]")).join(str(rng.randint(0, 255)) for _ in range(4))
@@ -246,14 +247,15 @@ def trained(steps: int = 320, batch: int = 96, width: int = 80, seed: int = 11)
     return net
 
 
-def spans_of(tags: np.ndarray, at: int = 0) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of a row of tags whose first is at place `at`."""
-    out, began, kind = [], -1, 0
-    for i, t in enumerate([*tags.tolist(), 0]):
-        k = (t + 1) // 2
-        if began >= 0 and (t == 0 or k != kind or t % 2):
-            out.append((KINDS[kind - 1], at + began, at + i))
-            began = -1
-        if t and began < 0:
-            began, kind = i, k
-    return out
+def spans_of(tags: np.ndarray, at: int = 0) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of a row of tags whose first is at place `at`, in order."""
+    before = np.concatenate([np.zeros(1, tags.dtype), tags[:-1]])
+    begins = (tags > 0) & ((before == 0) | ((tags + 1) // 2 != (before + 1) // 2) | (tags % 2 == 1))
+    ends = (before > 0) & (begins | (tags == 0))
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    if len(last) < len(first):
+        last = np.concatenate([last, [len(tags)]])
+    kinds = (tags[first] - 1) // 2
+    for i in range(0, len(first), 4096):  # the spans of a long row are made a few at a time
+        own = slice(i, i + 4096)
+        yield from zip([KINDS[k] for k in kinds[own]], (first[own] + at).tolist(), (last[own] + at).tolist(), strict=True)

@@ -1,10 +1,13 @@
+import hashlib
 import random
 import re
+import resource
 
+import numpy as np
 import pytest
 
 from fernweave.llm import pii as P
-from fernweave.llm.pii_model import KINDS, luhn, sample, trained
+from fernweave.llm.pii_model import KINDS, classes, luhn, sample, trained
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -15,7 +18,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 def brute(text):
     n = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(x.lstrip("0")[:9] or "0") <= 255 for x in m[0].split("."))]
     out += [("card", m.start(), m.end()) for m in CARD.finditer(text) if 12 <= len(n(m[0])) <= 19 and luhn(n(m[0]))]
     out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(n(m[0])) <= 15]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -69,6 +72,79 @@ def test_windows_are_reconciled(net):
     assert n == 1 and len(spans) == 40 and len({b - a for _, a, b in spans}) == 1
 
 
+def test_written_addresses(net):
+    """Each written form of an address lies in a window and can be accepted."""
+    for t in ("write to ann (AT) mail.com now", "ann{at}mail.com", "please ask ann at mail dot com today", "ANN [At] MAIL.COM"):
+        assert P.regions(t), t
+    for x in ("ann (AT) mail.com", "ann{at}mail.com", "ann at mail dot com", "ANN [At] MAIL.COM", "ann@mail(dot)com"):
+        assert P.formed(x, ("email", 0, len(x))) == ("email", 0, len(x)), x
+    assert not P.regions("meet ann at the mill, at noon or at night")
+
+
+def plain_added(text, net):
+    """What the model adds, a window at a time: the text as one array, no batches, no groups."""
+    found = []
+    for a, b in P.regions(text):
+        at = [a] if b - a <= P.WIDTH else [*range(a, b - P.WIDTH, P.STRIDE), b - P.WIDTH]
+        best, tags = [-1] * (b - a), [0] * (b - a)
+        for s in at:
+            x = np.full((1, P.WIDTH), 5)
+            part = text[s : min(s + P.WIDTH, b)]
+            x[0, : len(part)] = classes(np.array([ord(c) for c in part]))
+            for i, t in enumerate(net.decode(x)[0][: len(part)].tolist()):
+                depth = min(i, P.WIDTH - 1 - i)
+                if depth > best[s - a + i]:
+                    best[s - a + i], tags[s - a + i] = depth, t
+        began = None
+        for i, t in enumerate([*tags, 0]):
+            if began is not None and (t == 0 or t % 2 or (t + 1) // 2 != began[1]):
+                found.append((KINDS[began[1] - 1], a + began[0], a + i))
+                began = None
+            if t and began is None:
+                began = (i, (t + 1) // 2)
+    base, kept = brute(text), []
+    snapped = set()
+    for kind, a, b in found:
+        while a > 0 and text[a - 1].isalnum():
+            a -= 1
+        while b < len(text) and text[b].isalnum():
+            b += 1
+        while a < b and not (text[a].isalnum() or text[a] in "+("):
+            a += 1
+        while a < b and not text[b - 1].isalnum():
+            b -= 1
+        if s := P.formed(text, (kind, a, b)):
+            snapped.add(s)
+    for s in sorted(snapped, key=P.order):
+        if all(s[2] <= o[1] or o[2] <= s[1] for o in [*base, *kept]):
+            kept.append(s)
+    return kept
+
+
+def test_query_by_brute_force(spark, net, edge_rows):
+    """Counts, digest and spans of the whole query against plain patterns and a plain run of the model."""
+    rng = random.Random(5)
+    texts = [sample(rng)[0] for _ in range(120)] + [" ".join(sample(rng)[0] for _ in range(30)) for _ in range(4)]
+    texts += ["0" * 5000 + ".1.1.1", "256.1.1.1 and 0255.01.1.1", "1" * 3000 + " " + "7 " * 700, None, ""] + [r[1] for r in edge_rows]
+    got = {r["doc_id"]: r for r in P.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        base, more = brute(t or ""), plain_added(t or "", net)
+        line = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=P.order))
+        assert [got[i][f"n_{k}"] for k in KINDS] == [sum(s[0] == k for s in base) for k in KINDS], t
+        assert got[i]["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest(), t
+        assert got[i]["spans"] == line(base + more), t
+
+
+def test_memory_is_bounded(net):
+    """A text of marks alone: its windows are decoded a few at a time."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("0123456789") for _ in range(1_500_000))
+    P.find([text[:200_000]], net)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert P.find([text], net) == [([], [])]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 60_000  # KB
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs, net):
     out = P.pii(edge_docs, net)
     assert out.count() == len(edge_rows)
