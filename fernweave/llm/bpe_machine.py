@@ -7,6 +7,10 @@ of some longer token, that beginning, the last token before the place, and the c
 The last token of a prefix is the one that ends there and stands validly beside the last token before
 it; tokens stand validly side by side if merging their bytes together gives just the two.
 
+Bytes are read in chunks side by side. A chunk's state map takes each state that may enter it to the
+state that leaves it and the tokens counted in between; the maps of neighbouring chunks are composed
+by a prefix scan of doubling steps, so one pre-token of any length is read in parallel too.
+
 States are made when first reached, so texts pay for the states they visit, and dropped together
 when there are too many, so memory is bounded for any text.
 """
@@ -19,6 +23,10 @@ import unicodedata
 import numpy as np
 
 CHUNK, MOST_STATES = 128, 150_000
+#: Entering states by which a chunk's map is held at most; where more would be needed, the rest is read chunk by chunk.
+MOST_ENTRIES = 48
+#: Beginnings of at most so many tokens are looked into, to take states with equal futures for one.
+ENDS = 16
 #: Classes of characters for the cut in pre-tokens.
 BLANK, SPACE, LETTER, NUMBER, OTHER, QUOTE = range(6)
 
@@ -66,6 +74,7 @@ class Machine:
         for key, node in self.child.items():
             self.below[key >> 8] = [*(self.below[key >> 8] or []), node]
         self.stable: dict[int, bool] = {}
+        self.ends: dict[int, list[int] | None] = {}
         made = {new: (rank, a, b) for (a, b), (rank, new) in self.merges.items()}
         self.simple = len(made) == len(self.merges)  # each token comes from one merge
         self.left_edge, self.right_edge = ({} for _ in range(2))
@@ -133,8 +142,11 @@ class Machine:
             else:
                 j += 1
 
-    def tokens_below(self, node: int, most: int) -> list[int] | None:
+    def tokens_below(self, node: int, most: int = ENDS) -> list[int] | None:
         """Tokens that begin with the node's bytes and are longer; None: more than most."""
+        if node in self.ends:
+            return self.ends[node]
+        self.ends[node] = None
         out, open_ = [], list(self.below[node] or [])
         while open_:
             n = open_.pop()
@@ -143,13 +155,14 @@ class Machine:
                 if len(out) > most:
                     return None
             open_ += self.below[n] or []
+        self.ends[node] = out
         return out
 
     def standing(self, node: int, last: int) -> int | None:
         """A token that stands for `last` before a beginning: the first with the same valid ends; None: no end is valid."""
         key = (node, last)
         if key not in self.alike:
-            ends = self.tokens_below(node, 40)
+            ends = self.tokens_below(node)
             if ends is None:
                 self.alike[key] = last
             else:
@@ -218,13 +231,88 @@ class Machine:
         v = self.values[at]
         return v >> 8, (v & 255) - 128
 
+    def run_beginnings(self, kind: np.ndarray, enter: np.ndarray, heads: np.ndarray, lengths: np.ndarray, known: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """What comes out of chunk beginnings for entering states: (leaving states, tokens counted).
+
+        kind: which of the distinct beginnings (heads, lengths) each one is; known: what has been run, by kind and state.
+        """
+        key, back = np.unique(kind << 32 | enter, return_inverse=True)
+        new = np.array([k for k in key.tolist() if k not in known], np.int64)
+        if len(new):
+            of, state, n = new >> 32, new & 0xFFFFFFFF, np.zeros(len(new), np.int64)
+            for j in range(int(lengths[of].max())):
+                on = np.flatnonzero(lengths[of] > j)
+                state[on], d = self.steps(state[on], heads[of[on], j])
+                n[on] += d
+            known.update(zip(new.tolist(), zip(state.tolist(), n.tolist(), strict=True), strict=True))
+        out = np.array([known[k] for k in key.tolist()], np.int64).reshape(-1, 2)[back.ravel()]
+        return out[:, 0], out[:, 1]
+
+    def composed(self, first: np.ndarray, leaving: np.ndarray, heads: np.ndarray, kind: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens counted in the beginnings of chunks that stand before the chunks' first pre-token start.
+
+        first: length of each chunk's beginning; leaving: the state that leaves each chunk, -1 where that depends on what
+        enters; kind: the distinct beginning of each chunk that has one.
+        A map's entries are found by trial: chunks are entered by a guess, then by what left their left neighbour, and so on,
+        until no chunk is entered by a new state. As a state forgets what lies farther back than a few tokens, that ends soon.
+        """
+        own = np.flatnonzero(first > 0)
+        place = np.full(len(first), -1)
+        place[own] = np.arange(len(own))
+        left = place[own - 1]  # own[i]'s left neighbour within own, -1: it has no open beginning
+        sure = leaving[own - 1]  # the entering state, where it doesn't depend on the left neighbour's
+        known: dict[int, tuple[int, int]] = {}
+        enters = np.where(sure >= 0, sure, 0)[:, None]
+        to, n = self.run_beginnings(kind[own], enters[:, 0], heads, lengths, known)
+        tos, ns = to[:, None], n[:, None]
+        while True:
+            # what leaves the left neighbour last enters next, where that is new
+            new = np.where(sure < 0, tos[left, -1], -1)
+            new[(enters == new[:, None]).any(1)] = -1
+            at = np.flatnonzero(new >= 0)
+            if not len(at) or enters.shape[1] == MOST_ENTRIES:
+                break
+            to, n = np.full(len(own), -1), np.zeros(len(own), np.int64)
+            to[at], n[at] = self.run_beginnings(kind[own[at]], new[at], heads, lengths, known)
+            enters, tos, ns = np.column_stack([enters, new]), np.column_stack([tos, to]), np.column_stack([ns, n])
+        # a map as numbers: entry of the left neighbour to entry here, -1 where it isn't among the entries
+        width, rows = enters.shape[1], np.arange(len(own))[:, None]
+        step = np.full((len(own), width), -1)
+        dependent = np.flatnonzero(sure < 0)
+        for e in range(width):
+            came = tos[left[dependent], e]
+            hit = (enters[dependent] == came[:, None]) & (came >= 0)[:, None]
+            step[dependent, e] = np.where(hit.any(1), hit.argmax(1), -1)
+        step[sure >= 0] = 0
+        origin, jump = np.where(sure >= 0, np.arange(len(own)), left), step
+        while (origin[origin] != origin).any():  # doubling: each map is composed with the one that reaches up to its left end
+            before = jump[origin]
+            jump = np.where(before >= 0, jump[rows, before], -1)
+            origin = origin[origin]
+        entry = jump[:, 0]
+        out = np.where(entry >= 0, ns[rows[:, 0], entry], 0)
+        if (entry < 0).any():
+            out = self.chunk_by_chunk(entry, left, tos, out, kind[own], heads, lengths, known)
+        count = np.zeros(len(first), np.int64)
+        count[own] = out
+        return count
+
+    def chunk_by_chunk(self, entry: np.ndarray, left: np.ndarray, tos: np.ndarray, out: np.ndarray, kind: np.ndarray, heads: np.ndarray, lengths: np.ndarray, known: dict) -> np.ndarray:
+        """The counts of the chunks whose entering state is in no map, from left to right."""
+        leaves = np.where(entry >= 0, tos[np.arange(len(entry)), entry], -1)
+        todo = np.flatnonzero(entry < 0)
+        while len(todo):
+            ready = leaves[left[todo]] >= 0
+            now, todo = todo[ready], todo[~ready]
+            leaves[now], out[now] = self.run_beginnings(kind[now], leaves[left[now]], heads, lengths, known)
+        return out
+
     def deltas(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The count change at each byte; starts: where pre-tokens begin (the first byte does).
+        """Token counts by byte, of which only the sums over whole pre-tokens are meant; starts: where pre-tokens begin (the first byte does).
 
-        The bytes are cut in chunks that step side by side. Of a chunk's state map all is constant
-        after its first pre-token start, and only what lies before depends on the state that enters.
-        First all chunks run from their first start on; then the maps are composed from left to right:
-        in each round those chunks whose entering state is known run their beginning.
+        Of a chunk's state map all is constant after its first pre-token start, and only what lies
+        before depends on the state that enters. First all chunks run from their first start on; then
+        the maps of the beginnings are composed.
         """
         if len(self.states) > MOST_STATES:
             self.reset()
@@ -245,19 +333,14 @@ class Machine:
             on = np.flatnonzero(first <= j)
             if len(on):
                 state[on], out[on, j] = self.steps(state[on], d[on, j])
-        # rounds over chunks with an open beginning whose left neighbour is resolved
-        todo = np.flatnonzero(first > 0)
-        while len(todo):
-            known = state[todo - 1] >= 0
-            own, todo = todo[known], todo[~known]
-            enter = state[own - 1].copy()
-            for j in range(CHUNK):
-                on = np.flatnonzero(first[own] > j)
-                if not len(on):
-                    break
-                enter[on], out[own[on], j] = self.steps(enter[on], d[own[on], j])
-            whole = first[own] == CHUNK
-            state[own[whole]] = enter[whole]
+        open_ = first > 0
+        if open_.any():
+            heads = np.where(np.arange(CHUNK) < first[:, None], d, 0)[open_]
+            marked = np.column_stack([heads, first[open_]]).astype(np.uint8)  # CHUNK fits a byte
+            _, at, back = np.unique(marked.view(f"V{CHUNK + 1}").ravel(), return_index=True, return_inverse=True)
+            kind = np.full(rows, -1)
+            kind[open_] = back.ravel()
+            out[:, 0] += self.composed(first, state, heads[at], kind, first[open_][at])
         return out.reshape(-1)[:n]
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Token counts by a compiled finite-state tokenizer (see bpe_machine).
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; texts of any length are read whole, in
-chunks side by side; equal rows get equal results; special strings in a text are one token each, as
+chunks side by side, with blanks or without; doc_id is a whole number or null (another type is an error); equal rows get equal results; special strings in a text are one token each, as
 the library's default has it; columns other than doc_id and text are passed by; an empty table gives
 an empty result.
 """

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -44,6 +45,40 @@ def test_chunks_compose(both):
     same(both, ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (CHUNK - 1, CHUNK, 7 * CHUNK + 3)] + ["", "a"])
 
 
+def unbroken(n):
+    """Long texts of one pre-token, or nearly."""
+    rng = random.Random(3)
+    draw = lambda letters: "".join(rng.choice(letters) for _ in range(n))
+    prose = draw(["the", "and", "ing", "lich", "ción", "est", "ou"])[:n]
+    return [draw("0123456789"), " " * n, "ab" * (n // 2), prose, draw([chr(c) for c in range(0x4E00, 0x4F00)]), "-=" * (n // 2), "\n" * n, draw("ab")]
+
+
+def test_long_pretokens(both):
+    same(both, [x for t in unbroken(60_000) for x in (t, "a " + t + " b")])
+
+
+def test_maps_with_too_many_entries(both, monkeypatch):
+    """Where a map would need more entries than are held, chunks are read from left to right."""
+    import fernweave.llm.bpe_machine as B
+
+    for most in (1, 2):
+        monkeypatch.setattr(B, "MOST_ENTRIES", most)
+        same(both, unbroken(3_000))
+
+
+def test_long_pretokens_cost_like_others(both):
+    m, _ = both
+    for t in unbroken(400_000):
+        cost = []
+        for x in (t, " ".join(t[i : i + 6] for i in range(0, len(t), 6))):
+            own = text_bytes(pa.array([x], pa.large_string()))[:2]
+            m.counts(*own)  # states are made
+            began = time.process_time()
+            m.counts(*own)
+            cost.append(time.process_time() - began)
+        assert cost[0] < 5 * cost[1] + 0.5, (t[:20], cost)
+
+
 def test_states_are_bounded(both, monkeypatch):
     import fernweave.llm.bpe_machine as B
 
