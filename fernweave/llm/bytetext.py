@@ -9,6 +9,8 @@ import numpy as np
 #: An odd factor, so that it has an inverse modulo 2^64.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Bytes that are hashed at once.
+BLOCK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = []
@@ -58,12 +60,34 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return ws, we, np.searchsorted(offsets, ws, "right") - 1
 
 
-def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words: equal words have equal hashes."""
-    p, q = powers(len(data) + 1)
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=c[1:])
-    return mixed((c[we] - c[ws]) * q[ws] + (we - ws).astype(np.uint64))
+def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """64-bit hashes of words: equal words have equal hashes. Work is done a block at a time, so long texts and words need little memory."""
+    p, q = powers(block + 1)
+    out, n, at = np.zeros(len(ws), np.uint64), we - ws, 0
+    while at < len(ws):
+        base = ws[at]
+        to = int(np.searchsorted(we, base + block, "right"))
+        if to > at:
+            c = np.zeros(we[to - 1] - base + 1, np.uint64)
+            np.cumsum((data[base : we[to - 1]].astype(np.uint64) + np.uint64(1)) * p[: len(c) - 1], out=c[1:])
+            out[at:to] = (c[we[at:to] - base] - c[ws[at:to] - base]) * q[ws[at:to] - base]
+            at = to
+            continue
+        lead = np.uint64(1)  # a word longer than a block, part by part
+        for i in range(base, we[at], block):
+            part = data[i : min(i + block, we[at])].astype(np.uint64) + np.uint64(1)
+            out[at] += lead * (part * p[: len(part)]).sum(dtype=np.uint64)
+            lead *= p[block]
+        at += 1
+    return mixed(out + n.astype(np.uint64))
+
+
+def run_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of words by the words' hashes: of the words first to end - 1. A run of any length costs the same."""
+    p, q = powers(len(h) + 1)
+    c = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * p[: len(h)], out=c[1:])
+    return mixed((c[end] - c[first]) * q[first] + (end - first).astype(np.uint64))
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
