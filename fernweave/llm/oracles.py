@@ -66,20 +66,25 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
 """
 
+#: A run goes forward from a sentence, or backward, until it has two sentences and 25 words.
 ORACLES["op1_substring_dedup"] = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(regexp_extract_all(text, '(?s).+?(?:[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\z)'), []) AS p FROM documents),
-s AS (SELECT rid, doc_id, i, p[i] AS raw, trim(regexp_replace(p[i], '[\x20\x09-\x0D]+', ' ', 'g')) AS q FROM (SELECT rid, doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
-two AS (SELECT rid, doc_id, i, 2 AS n, q || ' ' || lead(q) OVER (PARTITION BY rid ORDER BY i) AS t FROM s),
-r AS (
-  SELECT * FROM two WHERE t IS NOT NULL AND len(string_split(t, ' ')) >= 8
-  UNION ALL SELECT rid, doc_id, i, 1 AS n, q AS t FROM s WHERE len(string_split(q, ' ')) >= 30),
-f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, rid, i) AS place FROM r),
-g AS (SELECT DISTINCT rid, unnest(range(i, i + n)) AS i FROM f WHERE place > 1),
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text,
+    list_filter(coalesce(regexp_extract_all(text, '(?s)[\x20\x09-\x0D]*.*?(?:[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\z)'), []), lambda x: x <> '') AS p FROM documents),
+q AS (SELECT rid, doc_id, i, p[i] AS raw, trim(regexp_replace(p[i], '[\x20\x09-\x0D]+', ' ', 'g')) AS q FROM (SELECT rid, doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
+s AS (SELECT *, sum(len(string_split(q, ' '))) OVER (PARTITION BY rid ORDER BY i) AS upto, len(string_split(q, ' ')) AS w FROM q),
+runs AS (
+  SELECT x.rid, x.doc_id, x.i, min(y.i) AS j FROM s x JOIN s y ON x.rid = y.rid AND y.i > x.i AND y.upto - x.upto + x.w >= 25 GROUP BY ALL
+  UNION SELECT y.rid, y.doc_id, max(x.i) AS i, y.i AS j FROM s x JOIN s y ON x.rid = y.rid AND y.i > x.i AND y.upto - x.upto + x.w >= 25 GROUP BY y.rid, y.doc_id, y.i
+  UNION SELECT rid, doc_id, i, i AS j FROM s WHERE w >= 30),
+r AS (SELECT r.rid, r.doc_id, r.i, r.j, string_agg(s.q, ' ' ORDER BY s.i) AS t FROM runs r JOIN s ON r.rid = s.rid AND s.i BETWEEN r.i AND r.j GROUP BY r.rid, r.doc_id, r.i, r.j),
+f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, rid, i, j) AS place FROM r),
+g AS (SELECT DISTINCT rid, unnest(range(i, j + 1)) AS i FROM f WHERE place > 1),
 o AS (
   SELECT s.rid, count(*) AS n_sentences, count(g.i) AS n_removed, coalesce(string_agg(raw, '' ORDER BY s.i) FILTER (g.i IS NULL), '') AS text
   FROM s LEFT JOIN g ON s.rid = g.rid AND s.i = g.i GROUP BY s.rid)
 SELECT d.doc_id, CAST(coalesce(o.n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(o.n_removed, 0) AS BIGINT) AS n_removed,
-  coalesce(o.text, d.text) AS text, sha256(coalesce(o.text, d.text, '')) AS text_sha256
+  CASE WHEN o.n_removed > 0 THEN o.text ELSE d.text END AS text, sha256(CASE WHEN o.n_removed > 0 THEN o.text ELSE coalesce(d.text, '') END) AS text_sha256
 FROM d LEFT JOIN o USING (rid)
 """
 

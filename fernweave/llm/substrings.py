@@ -1,75 +1,140 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut in sentences (up to sentence marks with white space after them, or a line's end; the
-pieces put together are the text). Every run of `run` consecutive sentences is hashed, white space made
-even, and so is a single sentence of `long_words` or more. Where a run has fewer than `min_words` words,
-it is extended sentence by sentence until it has them: forward from its first sentence, and backward from
-its last. So a repeated passage of `run` sentences and `min_words` words is covered whole, however short
-its sentences. Equal runs of the whole corpus meet in one group; its first one, by doc_id, text hash and
-place, stays, and every sentence that a later one covers is removed.
-
-A group is a count and a minimum, summed map-side before the shuffle, so a run that a third of all
-rows share is a few rows a task. Runs are joined only with those groups that have more than one
-member; the join can be split where one group is large.
-
-Defined cases: a null or empty text has no sentences and stays as it is; a null doc_id comes first;
-rows equal in doc_id and text are one document stored repeatedly and get the same result each; a text
-may become empty, its row stays; an empty table gives an empty result; extra columns stay but for
-those named like a returned one and those that begin with `_`.
+A text is cut in sentences: after sentence marks with white space behind them, and after a line's end;
+white space goes with the sentence before it, and the pieces put together are the text. Every run of
+consecutive sentences is hashed that has `run` sentences and `min_words` words: forward from each
+sentence as many as it takes, and backward from each sentence likewise, so that a repeated passage of
+that size is covered whole, however short its sentences. So is a single sentence of `long_words` or
+more. Runs are compared by their words, whatever the white space between them.
+Equal runs of the whole corpus meet in one group; its first one, by doc_id, text hash and place, stays,
+and every sentence that a later one covers is removed.
+
+Texts are cut and hashed in Arrow batches; the cost of a run doesn't depend on its length. First only
+hashes are counted, summed map-side; rows of runs whose hash occurs once never leave their task, if
+the others are counted to be few. A group is a count and a minimum, so a run that a third of all rows
+share is a few rows a task; runs and groups meet in a join that can be split where one group is large.
+
+Defined cases: a null or empty text has no sentences and stays as it is; a text of white space is one
+sentence; a null doc_id comes first; doc_id is of any type that has an order; rows equal in doc_id and
+text are one document stored repeatedly and get the same result each; a text may become empty, its row
+stays; an empty table gives an empty result; extra columns stay but for those named like a returned
+one and those that begin with `_`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .common import read, row_key
-
-SENTENCE = r"(?s).+?(?:[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\z)"
-RUN, MIN_WORDS, LONG_WORDS = 2, 8, 30
-
+from collections.abc import Iterator
 
-def sentences(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), F.array().cast("array<string>"))
-
-
-def runs(run: int, min_words: int, long_words: int) -> Column:
-    """(start, n, a, b) of the runs of the sentences `_p`: first sentence, sentences, 128 bits of hash.
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-    A sentence has a word or more, so an extended run has `min_words` sentences at most.
-    """
-    even = r"transform(_p, x -> trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ')))"
-    hashed = "struct({i} as start, {n} as n, xxhash64({t}) as a, xxhash64({t}, 'span') as b)"
-    words = "aggregate(slice(w, {i} + 1, {n}), 0, (x, y) -> x + y)".format
-    longer = f"sequence({run + 1}, {max(run + 1, min_words)})"
-    ahead = f"case when {words(i='i', n=run)} >= {min_words} then {run} else get(filter({longer}, n -> i + n <= size(q) and {words(i='i', n='n')} >= {min_words}), 0) end"
-    ahead = f"filter(transform(sequence(0, greatest(size(q) - {run}, 0)), i -> struct(i as i, case when size(q) >= {run} then {ahead} end as n)), r -> r.n is not null)"
-    # only where the last `run` sentences have too few words, and no run ahead is the same
-    back = f"case when j >= {run} and {words(i=f'(j - {run - 1})', n=run)} < {min_words} then get(filter({longer}, n -> n <= j + 1 and {words(i='(j - n + 1)', n='n')} >= {min_words}), 0) end"
-    back = f"filter(transform(transform(sequence(0, greatest(size(q) - 1, 0)), j -> {back}), (n, j) -> struct(j - n + 1 as i, n as n)), r -> r.n is not null and {words(i='r.i', n='r.n - 1')} >= {min_words})"
-    many = f"""transform(concat({ahead}, {back}), r -> {hashed.format(i="r.i", n="r.n", t="array_join(slice(q, r.i + 1, r.n), ' ')")})"""
-    one = f"""transform(filter(sequence(0, greatest(size(q) - 1, 0)), i -> size(q) >= 1 and w[i] >= {long_words}), i -> {hashed.format(i="i", n=1, t="q[i]")})"""
-    return F.expr(f"transform(array({even}), q -> transform(array(transform(q, x -> size(split(x, ' ')))), w -> concat({many}, {one}))[0])[0]")
+from .bytetext import find_words, mixed, run_hashes, word_hashes
+from .common import pieces, read, row_key, small_enough, text_bytes, written
+
+RUN, MIN_WORDS, LONG_WORDS = 2, 25, 30
+MARKS = np.zeros(256, bool)
+MARKS[list(b".!?")] = True
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray, ws: np.ndarray, we: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each sentence with words, and the number of words; the text of each such sentence)."""
+    if not len(ws):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64)
+    lines = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(data == 10, out=lines[1:])
+    new = np.ones(len(ws), bool)
+    new[1:] = (at[1:] != at[:-1]) | MARKS[data[we[:-1] - 1]] | (lines[ws[1:]] > lines[we[:-1]])
+    first = np.flatnonzero(new)
+    return np.concatenate([first, [len(ws)]]), at[first]
+
+
+def spans(words: np.ndarray, text: np.ndarray, run: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of sentences, given where sentences' words begin (and the end of all), and their texts."""
+    n = len(text)
+    i = np.arange(n)
+    low = np.searchsorted(text, text)  # a text's first sentence
+    high = np.searchsorted(text, text, "right")
+    end = np.maximum(np.searchsorted(words, words[:-1] + min_words), i + run)  # the fewest sentences with words enough
+    first = np.minimum(np.searchsorted(words, words[1:] - min_words, "right") - 1, i + 1 - run)
+    one = words[1:] - words[:-1] >= long_words
+    ahead, back = end <= high, first >= low
+    runs = np.concatenate([i[ahead] * (n + 1) + end[ahead], first[back] * (n + 1) + i[back] + 1, i[one] * (n + 1) + i[one] + 1])
+    runs = np.unique(runs)
+    return runs // (n + 1), runs % (n + 1)
+
+
+def runs_of(docs: DataFrame, run: int, min_words: int, long_words: int, places: bool = True) -> DataFrame:
+    """(doc_id, ka, kb, a, b, place) of the runs of docs (doc_id, ka, kb, text): 128 bits of hash, and first sentence << 32 | sentences; without places only a."""
+    out = "a long" if not places else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ka long, kb long, a long, b long, place long"
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in pieces(batches, "text", 1 << 20):
+            data, offsets, _ = text_bytes(x.column(3))
+            ws, we, at = find_words(data, offsets)
+            words, text = sentences(data, offsets, ws, we, at)
+            first, end = spans(words, text, run, min_words, long_words)
+            h = word_hashes(data, ws, we)
+            a = pa.array(run_hashes(h, words[first], words[end]).view(np.int64))
+            if not places:
+                yield pa.RecordBatch.from_arrays([a], names=["a"])
+                continue
+            b = pa.array(run_hashes(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), words[first], words[end]).view(np.int64))
+            place = (first - np.searchsorted(text, text)[first]) << 32 | (end - first) if len(first) else first
+            own = pa.array(text[first])
+            yield pa.RecordBatch.from_arrays([*(x.column(i).take(own) for i in range(3)), a, b, pa.array(place)], names=["doc_id", "ka", "kb", "a", "b", "place"])
+
+    return docs.select("doc_id", "ka", "kb", F.col("text").cast("string").alias("text")).mapInArrow(made, out)
 
 
 def repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """(_k, start, n): the runs of documents that are equal to an earlier one."""
-    spans = docs.select("doc_id", row_key().alias("_k"), sentences(F.col("text")).alias("_p")).select("doc_id", "_k", F.explode(runs(run, min_words, long_words)).alias("x"))
-    spans = spans.select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.struct("doc_id", "_k", F.col("x.start").alias("start"), F.col("x.n").alias("n")).alias("at"))
-    groups = spans.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    later = spans.join(groups, ["a", "b"]).where(F.col("at") != F.col("first"))
-    return later.select(F.col("at._k").alias("_k"), F.col("at.start").alias("start"), F.col("at.n").alias("n"))
+    """(_k, start, n): the runs of documents that are equal to an earlier one. _k: the key of the document's row."""
+    keyed = docs.select("doc_id", row_key()["a"].alias("ka"), row_key()["b"].alias("kb"), "text")
+    often = written(runs_of(keyed, run, min_words, long_words, places=False).groupBy("a").agg(F.count("*").alias("_c")).where("_c > 1").select("a"), "often")
+    made = runs_of(keyed, run, min_words, long_words)
+    own = written(made.join(F.broadcast(often) if small_enough(often, row_bytes=16) else often, "a", "left_semi"), "runs")
+    at = F.struct("doc_id", "ka", "kb", "place")
+    # rows equal in id and text are one document: their runs are one run
+    groups = own.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").drop("last")
+    later = own.join(groups, ["a", "b"]).where(at != F.col("first"))
+    key = F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("_k")
+    return later.select(key, F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))
 
 
 def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """docs with the text that is left, n_sentences and n_removed."""
     per = repeated(docs, run, min_words, long_words).groupBy("_k").agg(F.collect_set(F.struct("start", "n")).alias("_r"))  # bounded by a document's own sentences
     gone = per.select("_k", F.expr("array_distinct(flatten(transform(_r, x -> sequence(x.start, x.start + x.n - 1))))").alias("_gone"))
-    out = docs.withColumn("_k", row_key()).join(gone, "_k", "left").withColumn("_p", sentences(F.col("text"))).drop("_k")
-    left = "array_join(transform(array_except(sequence(0, size(_p) - 1), _gone), i -> _p[i]), '')"
-    out = out.withColumn("n_sentences", F.size("_p").cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(left))).drop("_p", "_gone")
+    out = docs.withColumn("text", F.col("text").cast("string")).withColumn("_k", row_key()).join(gone, "_k", "left").drop("_k")
+    out = out.withColumn("n_sentences", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
+    names = out.columns
+    text, count, removed, which = (names.index(x) for x in ("text", "n_sentences", "n_removed", "_gone"))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in pieces(batches, "text", 1 << 20):
+            data, offsets, sizes = text_bytes(x.column(text))
+            ws, we, at = find_words(data, offsets)
+            words, of = sentences(data, offsets, ws, we, at)
+            n = np.bincount(of, minlength=x.num_rows)
+            cut = np.searchsorted(of, np.arange(x.num_rows))  # a text's first sentence
+            old, n_gone = x.column(text), np.zeros(x.num_rows, np.int64)
+            some = np.flatnonzero(np.asarray(x.column(which).is_valid()))
+            if len(some):
+                texts = old.to_pylist()
+                for i in some.tolist():
+                    stays = np.ones(n[i], bool)
+                    stays[x.column(which)[i].values.to_numpy(zero_copy_only=False)] = False
+                    begins = np.concatenate([[offsets[i]], ws[words[cut[i] + 1 : cut[i] + n[i]]], [offsets[i + 1]]])
+                    n_gone[i] = n[i] - stays.sum()
+                    texts[i] = b"".join(data[begins[j] : begins[j + 1]].tobytes() for j in np.flatnonzero(stays).tolist()).decode()
+                old = pa.array(texts, old.type)
+            cols = list(x.columns)
+            cols[text], cols[removed] = old, pa.array(n_gone)
+            cols[count] = pa.array(np.where((n == 0) & (sizes > 0), 1, n).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([c for j, c in enumerate(cols) if j != which], names=[c for j, c in enumerate(names) if j != which])
+
+    return out.mapInArrow(left, out.drop("_gone").schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

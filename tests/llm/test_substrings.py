@@ -1,22 +1,28 @@
 import random
 import re
+import time
 
 from fernweave.llm.substrings import dedup
 
-SENTENCE = re.compile(r"(?s).+?(?:[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\Z)")
+SENTENCE = re.compile(r"(?s)[\x20\x09-\x0D]*.*?(?:[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\Z)")
 
 
-def brute(rows):
-    """(doc_id, text, n_sentences, n_removed) by the rule, one document after the other in the order of first occurrence."""
+def brute(rows, run=2, least=25, long_words=30):
+    """(doc_id, text, n_sentences, n_removed) by the rule, one document after the other: all (first, last) of which no shorter run with the same first, or the same last, has enough."""
     docs = sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
-    spans = {}
-    cut = {d: SENTENCE.findall(d[1] or "") for d in docs}
+    spans, cut = {}, {d: [x for x in SENTENCE.findall(d[1] or "") if x] for d in docs}
     for d in docs:
-        q = [re.sub(r"[\x20\x09-\x0D]+", " ", s).strip(" ") for s in cut[d]]
+        q = [re.sub(r"[\x20\x09-\x0D]+", " ", s).strip(" ").split(" ") for s in cut[d]]
         for i in range(len(q)):
-            for n, t in ((2, " ".join(q[i : i + 2])), (1, q[i])):
-                if i + n <= len(q) and len(t.split(" ")) >= (8 if n == 2 else 30):
-                    spans.setdefault(t, []).append((d, i, n))
+            for n in range(1, len(q) - i + 1):
+                words = sum(q[i : i + n], [])
+                enough = n >= run and len(words) >= least
+                ahead = enough and (n == run or len(words) - len(q[i + n - 1]) < least)
+                back = enough and (n == run or len(words) - len(q[i]) < least)
+                if ahead or back or (n == 1 and len(words) >= long_words):
+                    spans.setdefault(" ".join(words), []).append((d, i, n))
+                if len(words) > 3 * least and n > run:
+                    break
     gone = {d: set() for d in docs}
     for places in spans.values():
         for d, i, n in places[1:]:
@@ -57,34 +63,13 @@ def test_clashing_columns(spark):
     assert dedup(df).select("n_removed", "start").first() == (0, 8)
 
 
-def brute_extended(rows, run=2, least=8, long_words=30):
-    """brute, with runs of too few words extended: all (first, last) of which no shorter run with the same first, or the same last, has enough."""
-    docs = sorted({(r[0], r[1]) for r in rows})
-    spans, cut = {}, {d: SENTENCE.findall(d[1]) for d in docs}
-    for d in docs:
-        q = [re.sub(r"[\x20\x09-\x0D]+", " ", s).strip(" ") for s in cut[d]]
-        enough = lambda i, n: len(" ".join(q[i : i + n]).split(" ")) >= least  # noqa: E731, B023
-        for i in range(len(q)):
-            for n in range(1, len(q) - i + 1):
-                t = " ".join(q[i : i + n])
-                ahead = n >= run and enough(i, n) and (n == run or not enough(i, n - 1))
-                back = n >= run and enough(i, n) and (n == run or not enough(i + 1, n - 1))
-                if ahead or back or (n == 1 and len(t.split(" ")) >= long_words):
-                    spans.setdefault(t, []).append((d, i, n))
-    gone = {d: set() for d in docs}
-    for places in spans.values():
-        for d, i, n in places[1:]:
-            gone[d] |= set(range(i, i + n))
-    return sorted(((d[0], "".join(s for i, s in enumerate(cut[d]) if i not in gone[d]), len(cut[d]), len(gone[d])) for d in docs), key=repr)
-
-
 def test_passages_of_short_lines(spark, rows):
     lines = "".join(f"a{i} b{i} c{i}\n" for i in range(20))  # 60 words, 6 in two lines
     mixed = "One two three four five six seven eight nine ten. Ja. Nein. "
     made = [(i, f"Here begins the document that has number {i}.\n{lines}{mixed}And now it ends as it has begun with {i}.") for i in range(5)]
-    made += [(9, "x y z\n"), (10, "x y z\n"), (11, ""), (12, "p q r\ns t\nu v w\n"), (13, "p q r\ns t\nu v w\n"), (14, "x y z\nx y z\n")]
+    made += [(9, "x y z\n"), (10, "x y z\n"), (11, ""), (12, "p q r\n" * 9), (13, "p q r\n" * 9), (14, "x y z\nx y z\n"), (15, " \n "), (16, "\n\n. a b! c"), (17, "Wait... what?! Yes")]
     out = got(spark.createDataFrame(made, "doc_id long, text string"), rows)
-    assert out == brute_extended(made)
+    assert out == brute(made)
     left = {r[0]: r for r in out}
     assert left[0][3] == 0 and all(left[i][3] == 23 and "a7" not in left[i][1] and "Nein" not in left[i][1] for i in range(1, 5))
     assert left[13][1] == "" and left[10][1] == "x y z\n"
@@ -92,5 +77,28 @@ def test_passages_of_short_lines(spark, rows):
 
 def test_short_sentences_against_brute_force(spark, rows):
     rng = random.Random(3)
-    made = [(i, "".join(" ".join(rng.choice("aab") for _ in range(rng.randint(1, 4))) + ".\n" for _ in range(rng.randint(0, 20)))) for i in range(90)]
-    assert got(spark.createDataFrame(made, "doc_id long, text string"), rows) == brute_extended(made)
+    ends = [".\n", ". ", "! ", "?! ", "\n", " \n\n", ".", "..", "?"]
+    made = [(i, "".join(" ".join(rng.choice("aab") for _ in range(rng.randint(1, 4))) + rng.choice(ends) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    for run, least, long_words in ((2, 25, 30), (2, 5, 30), (3, 1, 4), (1, 6, 6)):
+        assert rows(dedup(df, run, least, long_words), "doc_id", "text", "n_sentences", "n_removed") == brute(made, run, least, long_words)
+
+
+def test_boilerplate_stays(spark):
+    """Two short sentences that many documents share aren't a passage."""
+    made = [(i, f"It begins with number {i} and goes on. Released under the license of all. No rights are reserved. Then number {i} ends.") for i in range(50)]
+    assert dedup(spark.createDataFrame(made, "doc_id long, text string")).where("n_removed > 0").count() == 0
+
+
+def test_marks_are_linear(spark):
+    made = [(1, "." * 1_000_000 + "x"), (2, "?!" * 500_000), (3, ". " * 300_000)]
+    began = time.time()
+    out = {r[0]: (r[1], r[2]) for r in dedup(spark.createDataFrame(made, "doc_id long, text string")).select("doc_id", "n_sentences", "n_removed").collect()}
+    assert time.time() - began < 30
+    assert out[1] == (1, 0) and out[2] == (1, 0) and out[3][0] == 300_000 and out[3][1] > 0
+
+
+def test_any_type_of_id(spark):
+    text = "One sentence has these nine or ten words in it. " * 3 + "And here are some more words, to make it long enough for a run. "
+    out = dedup(spark.createDataFrame([("a", text), ("b", text), (None, "x")], "doc_id string, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {"a": out.where("doc_id = 'a'").first()["text"], "b": "", None: "x"}
