@@ -231,6 +231,15 @@ class Machine:
         v = self.values[at]
         return v >> 8, (v & 255) - 128
 
+    def run(self, state: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaving states and counts of the first bytes of rows, as many as lengths say, entered by the states."""
+        state, n = state.copy(), np.zeros(len(state), np.int64)
+        for j in range(int(lengths.max(initial=0))):
+            on = np.flatnonzero(lengths > j)
+            state[on], d = self.steps(state[on], rows[on, j])
+            n[on] += d
+        return state, n
+
     def run_beginnings(self, kind: np.ndarray, enter: np.ndarray, heads: np.ndarray, lengths: np.ndarray, known: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """What comes out of chunk beginnings for entering states: (leaving states, tokens counted).
 
@@ -239,11 +248,7 @@ class Machine:
         key, back = np.unique(kind << 32 | enter, return_inverse=True)
         new = np.array([k for k in key.tolist() if k not in known], np.int64)
         if len(new):
-            of, state, n = new >> 32, new & 0xFFFFFFFF, np.zeros(len(new), np.int64)
-            for j in range(int(lengths[of].max())):
-                on = np.flatnonzero(lengths[of] > j)
-                state[on], d = self.steps(state[on], heads[of[on], j])
-                n[on] += d
+            state, n = self.run(new & 0xFFFFFFFF, heads[new >> 32], lengths[new >> 32])
             known.update(zip(new.tolist(), zip(state.tolist(), n.tolist(), strict=True), strict=True))
         out = np.array([known[k] for k in key.tolist()], np.int64).reshape(-1, 2)[back.ravel()]
         return out[:, 0], out[:, 1]
@@ -333,14 +338,19 @@ class Machine:
             on = np.flatnonzero(first <= j)
             if len(on):
                 state[on], out[on, j] = self.steps(state[on], d[on, j])
+        # beginnings after a chunk whose leaving state is known, and that let nothing through
+        own = np.flatnonzero((first > 0) & (first < CHUNK))
+        own = own[state[own - 1] >= 0]
+        out[own, 0] += self.run(state[own - 1], d[own], first[own])[1]
         open_ = first > 0
+        open_[own] = False
         if open_.any():
             heads = np.where(np.arange(CHUNK) < first[:, None], d, 0)[open_]
             marked = np.column_stack([heads, first[open_]]).astype(np.uint8)  # CHUNK fits a byte
             _, at, back = np.unique(marked.view(f"V{CHUNK + 1}").ravel(), return_index=True, return_inverse=True)
             kind = np.full(rows, -1)
             kind[open_] = back.ravel()
-            out[:, 0] += self.composed(first, state, heads[at], kind, first[open_][at])
+            out[:, 0] += self.composed(np.where(open_, first, 0), state, heads[at], kind, first[open_][at])
         return out.reshape(-1)[:n]
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
