@@ -10,8 +10,7 @@ Equal runs of the whole corpus meet in one group; its first one, by doc_id, text
 and every sentence that a later one covers is removed.
 
 Texts are cut and hashed in Arrow batches; the cost of a run doesn't depend on its length. First only
-hashes are counted, summed map-side; rows of runs whose hash occurs once never leave their task, if
-the others are counted to be few. A group is a count and a minimum, so a run that a third of all rows
+hashes are counted, summed map-side; of runs whose hash occurs once nothing else is kept. A group is a count and a minimum, so a run that a third of all rows
 share is a few rows a task; runs and groups meet in a join that can be split where one group is large.
 
 Defined cases: a null or empty text has no sentences and stays as it is; a text of white space is one
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import find_words, mixed, run_hashes, word_hashes
-from .common import pieces, read, row_key, small_enough, text_bytes, written
+from .common import pieces, read, row_key, text_bytes, written
 
 RUN, MIN_WORDS, LONG_WORDS = 2, 25, 30
 MARKS = np.zeros(256, bool)
@@ -93,11 +92,12 @@ def repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long_w
     keyed = docs.select("doc_id", row_key()["a"].alias("ka"), row_key()["b"].alias("kb"), "text")
     often = written(runs_of(keyed, run, min_words, long_words, places=False).groupBy("a").agg(F.count("*").alias("_c")).where("_c > 1").select("a"), "often")
     made = runs_of(keyed, run, min_words, long_words)
-    own = written(made.join(F.broadcast(often) if small_enough(often, row_bytes=16) else often, "a", "left_semi"), "runs")
+    own = written(made.join(often.hint("merge"), "a", "left_semi"), "runs")  # alike at every size
     at = F.struct("doc_id", "ka", "kb", "place")
     # rows equal in id and text are one document: their runs are one run
     groups = own.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").drop("last")
-    later = own.join(groups, ["a", "b"]).where(at != F.col("first"))
+    groups = written(groups, "groups")  # so that both sides of the join are read from a shuffle, and a large group's is split
+    later = own.join(groups.hint("merge"), ["a", "b"]).where(at != F.col("first"))
     key = F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("_k")
     return later.select(key, F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))
 
