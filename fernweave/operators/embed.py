@@ -67,7 +67,7 @@ def write_index(cards: DataFrame, path: str, embedder: Embedder, stamp: str = ""
     if cards.isEmpty():
         return False
     embed_cards(cards, embedder).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/vectors")
-    cards.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/cards")
+    cards.orderBy("iri").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/cards")
     meta = json.dumps({"model": embedder.name, "dim": embedder.dim, "stamp": stamp})
     cards.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return True

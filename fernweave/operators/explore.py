@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.iri import local_name
 from ..plans import graph as G
 from ..plans.graph import Graph
+from ..storage import shared_dir
 
 
 def checked_iri(s: str) -> str:
@@ -61,7 +60,7 @@ def two_way(edges: DataFrame) -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fernweave-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -111,21 +110,21 @@ def path(graph: Graph, start: str, goal: str, max_len: int = 4, degree_cap: int
     return spark.createDataFrame(steps[::-1], schema).withColumn("predicate", local_name(F.col("predicate")))
 
 
-def closure(edges: DataFrame, pred: str, starts: DataFrame, most: int = 50) -> DataFrame:
+def closure(edges: DataFrame, pred: str, starts: DataFrame) -> DataFrame:
     """(src, dst): all pairs connected by one or more steps of a predicate, from starts (src).
 
-    Semi-naive: a round joins only the pairs that the last one found.
+    Semi-naive: a round joins only the pairs that the last one found. It ends when a round finds none, as
+    one must: there are finitely many pairs, and each round's are new.
     """
     e = edges.where(F.col("pred") == pred).select("src", "dst").distinct()
     new = _cut(e.join(starts.select("src").distinct(), "src", "left_semi"))
     found = new
-    for _ in range(most):
+    while True:
         step = new.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         new = _cut(step.join(found, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return found
-        found = found.unionByName(new)
-    raise RuntimeError(f"a chain of more than {most} steps")
+        found = _cut(found.unionByName(new))
 
 
 def derived_from_docs(graph: Graph) -> int:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -71,21 +71,29 @@ def normalised(v: Sequence[float]) -> list[float]:
     return [float(x) / n for x in v]
 
 
-def vector_topk(vectors: DataFrame, query: Sequence[float], limit: int = 10, cards: DataFrame | None = None) -> DataFrame:
+#: Cards as a table, or as a function that makes those of the nodes (iri) it is given.
+Cards = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def cards_of(cards: Cards, nodes: DataFrame) -> DataFrame:
+    return cards(nodes.select("iri")) if callable(cards) else cards
+
+
+def vector_topk(vectors: DataFrame, query: Sequence[float], limit: int = 10, cards: Cards | None = None) -> DataFrame:
     """(iri, score) of the nearest vectors by cosine, equal scores by iri; with cards also type, title and snippet."""
     q = F.array(*[F.lit(x) for x in normalised(query)])
     top = vectors.select("iri", dot(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "iri").limit(limit)
     if cards is None:
         return top
-    return top.join(cards.select("iri", "type", "title", "snippet"), "iri", "left").orderBy(F.desc("score"), "iri")
+    return top.join(cards_of(cards, top).select("iri", "type", "title", "snippet"), "iri", "left").orderBy(F.desc("score"), "iri")
 
 
-def vector_grouped(vectors: DataFrame, cards: DataFrame, query: Sequence[float], limit: int = 10) -> DataFrame:
+def vector_grouped(vectors: DataFrame, cards: Cards, query: Sequence[float], limit: int = 10) -> DataFrame:
     """The same where a node may have several vectors: its best score, equal scores by iri."""
     q = F.array(*[F.lit(x) for x in normalised(query)])
-    best = vectors.groupBy("iri").agg(F.max(dot(F.col("embedding"), q)).alias("score"))
-    fields = cards.groupBy("iri").agg(F.min("type").alias("type"), F.min("title").alias("title"), F.min("snippet").alias("snippet"))
-    return best.orderBy(F.desc("score"), "iri").limit(limit).join(fields, "iri", "left").orderBy(F.desc("score"), "iri")
+    best = vectors.groupBy("iri").agg(F.max(dot(F.col("embedding"), q)).alias("score")).orderBy(F.desc("score"), "iri").limit(limit)
+    fields = cards_of(cards, best).groupBy("iri").agg(F.min("type").alias("type"), F.min("title").alias("title"), F.min("snippet").alias("snippet"))
+    return best.join(fields, "iri", "left").orderBy(F.desc("score"), "iri")
 
 
 def exact_ids(query: str) -> list[str]:
@@ -114,7 +122,7 @@ def fused(lex: DataFrame, sem: DataFrame | None, query: str, limit: int = 10) ->
     return out.withColumn("degraded", F.lit(sem is None)).orderBy(F.desc("score"), "iri").limit(limit)
 
 
-def hybrid(graph: Graph, query: str, limit: int = 10, vectors: DataFrame | None = None, cards: DataFrame | None = None, embedding: Sequence[float] | None = None, row_cap: bool = True) -> DataFrame:
+def hybrid(graph: Graph, query: str, limit: int = 10, vectors: DataFrame | None = None, cards: Cards | None = None, embedding: Sequence[float] | None = None, row_cap: bool = True) -> DataFrame:
     """Both legs, `limit` each, and their fusion as one plan. Without an index the result is degraded, not an error."""
     lex = ranked(lexical(graph, query, limit, row_cap).withColumnRenamed("fix", "snippet"), "iri")
     sem = None

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT_NAMESPACE, GraphConfig
-from ..model import QUAD
+from ..model import QUAD, TERM
+from ..storage import fresh_dir, state_of
 from . import graph as G
 from .construct import DATETIME, INTEGER, STRING
 from .graph import Graph
@@ -107,12 +108,19 @@ class _Names(dict):
         return key
 
 
+TABLES = ("documents", "labels", "events", "orders", "customer", "supplier", "nation")
+
+
+def used_tables(base: str) -> list[str]:
+    return [t for t in TABLES if "{" + t + "}" in base]
+
+
 def table_quads(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """The named sets as quads; each set is one pass over its rows."""
     out = None
     for name in names:
         base, facts = SETS[name]
-        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels", "events", "orders", "customer", "supplier", "nation") if "{" + t + "}" in base}
+        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used_tables(base)}
         text = lambda v: "cast(null as string)" if v is None else f"'{v}'"
         each = ", ".join(f"struct('{g}' as g, {sub} as s, '{p}' as p, {obj} as o, '{kind}' as o_kind, {text(dt)} as o_dt)" for g, sub, p, obj, kind, dt in facts)
         df = spark.sql(base, **used).selectExpr(f"inline(array({each}))").where("o is not null").selectExpr("g", "s", "p", "o", "o_kind", "o_dt", "cast(null as string) as o_lang")
@@ -120,9 +128,25 @@ def table_quads(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return out.dropDuplicates()
 
 
+#: Where the graphs of this process are stored, by session, tables and their state.
+_stored: dict[tuple, str] = {}
+
+
 def table_graph(spark: SparkSession, sf_dir: str, *names: str) -> Graph:
-    """The sets as a graph. No fact is in two graphs, so its triples are distinct as they are."""
-    return Graph(table_quads(spark, sf_dir, *names), GraphConfig(), distinct=True)
+    """The sets as a graph, built once for each state of their tables, and read from there.
+
+    Quads lie by predicate, so a query reads the predicates that it names. No fact is in two graphs, so
+    the graph's triples are distinct as they are.
+    """
+    tables = sorted({t for n in names for t in used_tables(SETS[n][0])})
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(names)), tuple(state_of(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+    path = _stored.get(key)
+    if path is None or state_of(spark, path) is None:
+        path = fresh_dir(spark, "graph")
+        # a predicate's rows are in few files, and one with many rows is split
+        table_quads(spark, sf_dir, *names).hint("rebalance", "p").write.partitionBy("p").parquet(path)
+        _stored[key] = path
+    return Graph(spark.read.schema(QUAD).parquet(path).select("g", *TERM), GraphConfig(), distinct=True)
 
 
 def quads_sql(*names: str) -> str:

@@ -83,19 +83,25 @@ search_query("r1_exact_key", "doc-98", 10)
 
 # --- vectors and fusion ---------------------------------------------------
 def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of labelled documents, by their nodes."""
+    """All vectors, by their documents' nodes."""
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    iri = F.concat(F.when(F.col("quality") == 1, R + "learning/corpus/solutions/").otherwise(R + "decision/corpus/adr/"), F.col("doc_id").cast("string"))
-    return v.join(read(spark, sf_dir, "labels"), "doc_id").select(iri.alias("iri"), "embedding")
+    kind = F.when(F.col("quality") == 1, R + "learning/corpus/solutions/").when(F.col("quality") == 0, R + "decision/corpus/adr/").otherwise(R + "doc/corpus/")
+    return v.join(read(spark, sf_dir, "labels"), "doc_id", "left").select(F.concat(kind, F.col("doc_id").cast("string")).alias("iri"), "embedding")
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"])
+    """The vector of the smallest id; without vectors one of zeros."""
+    row = read(spark, sf_dir, "embeddings").orderBy("vec_id").first()
+    return list(row["embedding"]) if row else [0.0]
+
+
+def cards_of(graph: G.Graph) -> Callable[[DataFrame], DataFrame]:
+    return lambda nodes: build_cards(graph, nodes)
 
 
 VECTOR_CTES = f"""
-q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
-vec AS (SELECT CASE WHEN l.quality = 1 THEN '{R}learning/corpus/solutions/' ELSE '{R}decision/corpus/adr/' END || CAST(e.vec_id AS VARCHAR) AS iri, CAST(e.embedding AS DOUBLE[]) AS v FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id),
+q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1),
+vec AS (SELECT CASE l.quality WHEN 1 THEN '{R}learning/corpus/solutions/' WHEN 0 THEN '{R}decision/corpus/adr/' ELSE '{R}doc/corpus/' END || CAST(e.vec_id AS VARCHAR) AS iri, CAST(e.embedding AS DOUBLE[]) AS v FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id),
 scored AS (SELECT iri, list_inner_product(v, q) / (sqrt(list_inner_product(q, q)) + 1e-12) AS score FROM vec, q)"""
 
 
@@ -110,7 +116,7 @@ def _(spark, sf_dir):
 
 @query("r5_semantic_grouped", VECTOR_CTES + ", " + card_ctes() + " SELECT scored.iri, round(score, 6) AS score, c.type, c.title, c.snippet FROM scored LEFT JOIN cards c ON c.iri = scored.iri ORDER BY scored.score DESC, scored.iri LIMIT 10", ("docs",))
 def _(spark, sf_dir):
-    return search.vector_grouped(vectors_of(spark, sf_dir), build_cards(table_graph(spark, sf_dir, "docs")), query_vector(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+    return search.vector_grouped(vectors_of(spark, sf_dir), cards_of(table_graph(spark, sf_dir, "docs")), query_vector(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
 def hybrid_sql(term: str, limit: int, boost: str | None, semantic: bool = True) -> str:
@@ -128,7 +134,7 @@ def hybrid_query(name: str, text: str, boost: str | None, semantic: bool = True)
     @query(name, hybrid_sql(search.term_of(text), 10, boost, semantic), ("docs",))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = table_graph(spark, sf_dir, "docs")
-        more = {"vectors": vectors_of(spark, sf_dir), "cards": build_cards(g), "embedding": query_vector(spark, sf_dir)} if semantic else {}
+        more = {"vectors": vectors_of(spark, sf_dir), "cards": cards_of(g), "embedding": query_vector(spark, sf_dir)} if semantic else {}
         return search.hybrid(g, text, 10, **more).withColumn("score", F.round("score", 6)).withColumn("matched_by", F.array_join("matched_by", ","))
 
 

@@ -61,3 +61,25 @@ def test_anchors_of_all_first_lines(spark):
     have = {r.doc_id: r.anchor for r in Q.QUERIES["f19_anchor_whole"](spark, SMALL).collect()}
     assert have == {r.doc_id: anchor(r.text) for r in docs}
     assert len({r.lang for r in docs}) > 1 and max(map(len, have.values())) > 60
+
+
+@pytest.mark.parametrize("name, most", [("i1_cards", 8), ("r3_hybrid_rrf", 27), ("r10_history_merged", 16), ("r1_lexical_search", 10), ("a7_inventory", 16)])
+def test_plans_read_few_tables(spark, name, most):
+    """A query reads the predicates that it names, each a part of the stored quads, and no text table again and again."""
+    plan = Q.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= most
+    assert plan.count("documents.parquet") == 0
+
+
+def test_graph_is_stored_once_for_each_state(spark, tmp_path):
+    from fernweave.plans.tables import table_graph
+
+    at = str(tmp_path / "t")
+    write = lambda name, df: df.write.mode("overwrite").parquet(f"file://{at}/{name}.parquet")
+    docs = lambda n: spark.range(n).selectExpr("id doc_id", "'some text' text", "'en' lang", "'s' source", "9L n_chars")
+    write("labels", spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    write("documents", docs(3))
+    n = lambda: table_graph(spark, f"file://{at}", "docs").where("http://purl.org/dc/terms/title").count()
+    assert n() == 4 and n() == 4
+    write("documents", docs(5))
+    assert n() == 6
