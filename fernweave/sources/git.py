@@ -47,8 +47,8 @@ def logged_commits(lines: DataFrame, slug: str) -> DataFrame:
 
 def doc_heads(files: DataFrame, texts: DataFrame) -> DataFrame:
     """files with title and detail, from the first characters of texts (path, text); unreadable ones have their stem."""
-    meta = F.udf(lambda text, stem: doc_meta(text or "", stem), "struct<_1: string, _2: string>")
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", "")
-    docs = files.where("is_doc").join(texts.select("path", F.substring("text", 1, HEAD_CHARS).alias("text")), "path", "left").withColumn("_m", meta("text", stem))
+    title, detail = doc_meta(F.coalesce("text", F.lit("")), stem)
+    docs = files.where("is_doc").join(texts.select("path", F.substring("text", 1, HEAD_CHARS).alias("text")), "path", "left").withColumn("title", title).withColumn("detail", detail)
     none = F.lit(None).cast("string")
-    return docs.select("slug", "path", "is_doc", F.col("_m._1").alias("title"), F.col("_m._2").alias("detail")).unionByName(files.where("not is_doc").select("slug", "path", "is_doc", none.alias("title"), none.alias("detail")))
+    return docs.select("slug", "path", "is_doc", "title", "detail").unionByName(files.where("not is_doc").select("slug", "path", "is_doc", none.alias("title"), none.alias("detail")))

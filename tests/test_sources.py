@@ -1,15 +1,22 @@
 """Sources and construction on hand-made inputs."""
 
+import html
 import json
+import random
+import re
+
+from pyspark.sql import functions as F
 
 from fernweave.config import GraphConfig
-from fernweave.functions.markup import doc_meta, links_of, markdown_of, page_of
+from fernweave.functions.markup import doc_meta, html_pages, links_of, markdown_sections, page_of
 from fernweave.operators import incremental
 from fernweave.plans import graph as G
 from fernweave.plans.construct import Construct, anchored, issue_comments
 from fernweave.sources import docs, git, github, manifest, site, tracker
 from fernweave.streaming import landing
 
+from .conftest import SMALL
+
 C = GraphConfig()
 R, O = C.resource, C.onto  # noqa: E741
 
@@ -106,11 +113,56 @@ def test_html():
     assert links_of('<a href="/b#c">x</a><a href="mailto:q">y</a><a href="http://z/">', "http://x/a") == ["http://x/b", "http://z/"]
 
 
-def test_markdown():
-    assert markdown_of("pre\n# T\nunder\n## S\nx\n##### five\n", "u") == ("T", [("", 0, "pre"), ("", 0, "under"), ("S", 2, "x\n##### five")])
-    assert markdown_of("just text", "mcp://a/b.md") == ("b.md", [("b.md", 1, "just text")])
-    assert markdown_of("", "a/b") == ("b", [])
-    assert doc_meta("# One\ntext\n## Two\nmore", "f") == ("One", "text more")
+def markdown(spark, *rows):
+    df = spark.createDataFrame(list(rows), "text string, uri string")
+    title, sections = markdown_sections(F.col("text"), F.col("uri"))
+    return [(r[0], [tuple(x) for x in r[1]]) for r in df.select(title, sections).collect()]
+
+
+def test_markdown(spark):
+    assert markdown(spark, ("pre\n# T\nunder\n## S\nx\n##### five\n", "u"), ("just text", "mcp://a/b.md"), ("", "a/b"), ("# \n#\t\na\r\n# T\nb\n# U\n", "///"), ("## only\n", "x/y/"), ("#no\n####\n", "/")) == [
+        ("T", [("", 0, "pre"), ("", 0, "under"), ("S", 2, "x\n##### five")]), ("b.md", [("b.md", 1, "just text")]), ("b", []),
+        ("T", [("", 0, "a"), ("", 0, "b"), ("U", 1, "")]), ("y", [("only", 2, "")]), ("/", [("/", 1, "#no\n####")]),
+    ]
+
+
+def test_markdown_by_brute_force(spark):
+    """Random lines: headings are found line by line, and each part's text is what stands up to the next one."""
+    rng = random.Random(8)
+    parts = ["# One", "## Two ", "#", "####\tfour", "##### no", "text", "", " # no", "#x", "  ", "a #"]
+    made = [("\n".join(rng.choice(parts) for _ in range(rng.randint(0, 9))), "d/e.md") for _ in range(300)]
+    for (text, _), (title, sections) in zip(made, markdown(spark, *made), strict=True):
+        ls = text.split("\n")
+        heads = [(i, len(m[1]), m[2].strip()) for i, x in enumerate(ls) if (m := re.match(r"(#{1,4})[ \t]+(.*)$", x))]
+        named = [h for h in heads if h[1] == 1 and h[2]]
+        want = []
+        for (i, n, h), (end, *_) in zip([(-1, 0, ""), *heads], [*heads, (len(ls),)], strict=True):
+            body = "\n".join(ls[i + 1 : end]).strip()
+            top = n == 1 and (not named or i <= named[0][0])
+            if body or (h and not top):
+                want.append(("", 0, body) if not n or top else (h, n, body))
+        if not named and not any(n for _, n, _ in want):
+            want = [("e.md", 1, text.strip())] if text.strip() else []
+        assert (title, sections) == (named[0][2] if named else "e.md", want), text
+
+
+def test_head_of_documents(spark):
+    long = "w" * 300
+    rows = [("# One\ntext\n## Two\nmore", "One", "text more"), ("---\nTITLE: 'A b'\ntitle: c\n---\n# H\nx", "A b", "x"), ("---\ntitle:\nk: v\n---\ny\n# H", "H", "y"), ("---\ntitle: open\nz", "open", "--- title: open z"), ("", "f", ""), (f"{long}\n{long}\n# late", "f", (long + " " + long)[:400]), ("a\u2028#b\r\n\u3000c ", "f", "a c")]
+    title, snippet = doc_meta(F.col("text"), F.lit("f"))
+    assert [tuple(r) for r in spark.createDataFrame([(r[0],) for r in rows], "text string").select("text", title, snippet).collect()] == rows
+
+
+def test_pages_by_brute_force(spark):
+    """The test pages, whose articles hold headings and paragraphs only, read by patterns."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    got = {r.url: (r.title, [tuple(x) for x in r.sections]) for r in html_pages(pages).collect()}
+    plain = lambda x: [html.unescape(t).strip() for t in re.split(r"<[^>]*>", re.sub(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "", x)) if html.unescape(t).strip()]
+    for r in pages.collect():
+        body = re.search(r"(?is)<article[^>]*>(.*?)</article>", r.html)[1]
+        assert " ".join(t for s in got[r.url][1] for t in (s[0], s[2]) if t).split() == " ".join(plain(body)).split()
+        assert [s[0] for s in got[r.url][1] if s[1]] == ["".join(plain(h)) for h in re.findall(r"(?is)<h[1-4][^>]*>(.*?)</h[1-4]>", body)]
+        assert got[r.url][0] == "".join(plain(re.search(r"(?is)<title[^>]*>(.*?)</title>", r.html)[1]))
 
 
 def test_pages(spark):
