@@ -9,7 +9,7 @@ map, slice totals are summed up, and only the one slice of each source that the
 is ordered row by row. A slice holds about `slice_rows` rows, whatever the source's size.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of
-its own, last in the order; a null doc_id counts as the empty string; equal keys are ordered by text
+its own, last in the order; sources are of any number; a document without doc_id draws its key from its text; equal keys are ordered by text
 hash, and rows equal in id and text are interchangeable; an empty table gives an empty result; extra
 columns of the input stay as they are, but for those named like a returned one (replaced) and those
 that begin with an underscore (reserved).
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, read, written
+from .common import SPACE_WORDS, read, small_enough, written
 
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix-1"
 SYMBOLS = "#*$%&|<>!"
@@ -39,9 +39,14 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(4.0) * (symbols.cast("double") / chars.cast("double")))
 
 
+def name_of(doc_id: Column, text: Column) -> Column:
+    """What a document's key is drawn from: its id, or without one its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def exponential_key(name: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight with u in (0, 1] from 52 bits of an MD5 of the seed and the document's id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(name.cast("string"), F.lit("")))), 1, 13), 16, 10)
+    """-ln(u) / weight with u in (0, 1] from 52 bits of an MD5 of the seed and the document's name."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 13), 16, 10)
     u = (bits.cast("double") + F.lit(1.0)) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
@@ -51,47 +56,49 @@ def even(e: Column) -> Column:
     return F.lit(1.0) - (F.exp(-e) + F.exp(e * -0.4) + F.exp(e * -0.15) + F.exp(e * -0.05)) / F.lit(4.0)
 
 
-def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], share: float, most: float) -> list[tuple[str | None, float]]:
-    """Targets of the sources, in code point order with null last; what exceeds `most` times a source is reshared."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
-    w = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    cap = {s: most * n for s, n in order}
-    total, out, free = share * sum(n for _, n in order), {}, [s for s, _ in order]
-    while free:
-        left = total - sum(out.values())
-        whole = sum(w[s] for s in free)
-        over = [s for s in free if left * w[s] / whole > cap[s]]
-        if not over:
-            out |= {s: left * w[s] / whole for s in free}
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows, written, with _rank from 0 in a total order: sorted by ranges, counted by range."""
+    low = (1 << 33) - 1
+    own = written(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(low))), "ranks")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = own.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # a row a range
+    return own.join(F.broadcast(parts), "_part").withColumn("_rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def source_targets(sized: DataFrame, source: str, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(_ps, source_size, target, _rows): the targets of the sources, which take the weights in code point order with null last.
+
+    A round shares what the capped sources leave over among the others and caps those that get too much; it ends when
+    none does. A round is one aggregate over the table of sources, of any number; the driver gets two sums.
+    """
+    rows = sized.groupBy(F.col(source).alias("_ps")).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    w = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("_rank") % len(weights) + 1).cast("int"))
+    cap = F.lit(float(most)) * F.col("source_size")
+    own = written(ranked(rows, F.col("_ps").asc_nulls_last()).withColumn("_w", w).withColumn("_cap", cap), "sources")
+    total = share * float(own.agg(F.sum("source_size")).first()[0] or 0)
+    full, part, last = F.lit(False), F.col("_cap"), None
+    while True:
+        sums = own.agg(F.sum(F.when(full, F.col("_cap"))).alias("c"), F.sum(F.when(~full, F.col("_w"))).alias("w"), F.count_if(full).alias("n")).first()
+        if not sums["w"] or sums["n"] == last:
             break
-        out |= {s: cap[s] for s in over}
-        free = [s for s in free if s not in over]
-    return [(s, out[s]) for s, _ in order]
-
-
-def source_targets(spark: SparkSession, sized: DataFrame, source: str, weights: Sequence[float], share: float, most: float, max_sources: int = 100_000) -> DataFrame:
-    """(source, source_size, target). The list of sources is a small dimension: refused beyond max_sources."""
-    rows = sized.groupBy(F.col(source).alias("_s")).agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    size = {r["_s"]: int(r["n"]) for r in rows}
-    count = {r["_s"]: int(r["rows"]) for r in rows}
-    made = [(s, size[s], float(t), count[s]) for s, t in targets(list(size.items()), weights, share, most)]
-    return spark.createDataFrame(made, "_ps string, source_size long, target double, _rows long")
+        part = F.lit(total - (sums["c"] or 0.0)) * F.col("_w") / F.lit(sums["w"])
+        full, last = full | (part > F.col("_cap")), sums["n"]
+    return own.select("_ps", "source_size", F.when(full, F.col("_cap")).otherwise(part).alias("target"), "_rows")
 
 
 def mix(docs: DataFrame, source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, slice_rows: int = 4096, keep_text: bool = True) -> DataFrame:
     """docs, with or without their text, with size, source_size, target and taken: whole epochs times the size, and once more if drawn."""
-    spark = docs.sparkSession
     sized = docs.withColumn("size", n_words(F.col("text")))
-    sized = sized.withColumn("_w", F.coalesce(quality_weight(F.col("text")), F.lit(1.0))).withColumn("_tie", F.xxhash64("text"))
+    sized = sized.withColumn("_w", F.coalesce(quality_weight(F.col("text")), F.lit(1.0))).withColumn("_tie", F.xxhash64("text")).withColumn("_name", name_of(F.col("doc_id"), F.col("text")))
     if not keep_text:
         sized = written(sized.drop("text"), "sizes")  # each text is read once
-    plan = source_targets(spark, sized, source, weights, share, most)
+    plan = written(source_targets(sized, source, weights, share, most), "targets")
+    few = small_enough(plan)  # as is `edge` below: a row a source at most
+    side = F.broadcast if few else lambda df: df
     keyed = (
         sized.withColumn("_s", F.col(source))
-        .withColumn("_e", exponential_key(F.col("doc_id"), F.col("_w"), seed))
-        .join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_ps")))
+        .withColumn("_e", exponential_key(F.col("_name"), F.col("_w"), seed))
+        .join(side(plan), F.col("_s").eqNullSafe(F.col("_ps")))
         .drop("_ps")
         .withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
         .withColumn("_budget", F.col("target") - F.col("_epochs") * F.col("source_size"))
@@ -109,14 +116,14 @@ def mix(docs: DataFrame, source: str = "source", weights: Sequence[float] = WEIG
     # the slice into which the budget falls: the first whose end reaches it
     edge = slices.where((F.col("_before") < F.col("_budget")) & (F.col("_before") + F.col("_n") >= F.col("_budget"))).groupBy("_s").agg(F.min(F.struct("_slice", "_before")).alias("_edge"))
     edge = edge.select(F.col("_s").alias("_es"), F.col("_edge._slice").alias("_at"), F.col("_edge._before").alias("_before"))
-    keyed = keyed.join(F.broadcast(edge), F.col("_s").eqNullSafe(F.col("_es")), "left").drop("_es")
+    keyed = keyed.join(side(edge), F.col("_s").eqNullSafe(F.col("_es")), "left").drop("_es")
     order = Window.partitionBy("_s").orderBy("_e", F.col("doc_id").asc_nulls_first(), "_tie")
     inner = keyed.where(F.col("_slice") == F.col("_at")).withColumn("_end", F.col("_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # a document across the budget is drawn if that brings the sum nearer to it
     inner = inner.withColumn("_drawn", F.col("_end") - F.col("size") / F.lit(2.0) <= F.col("_budget")).drop("_end")
     outer = keyed.where(F.col("_at").isNull() | (F.col("_slice") != F.col("_at"))).withColumn("_drawn", F.col("_at").isNotNull() & (F.col("_slice") < F.col("_at")))
     out = inner.unionByName(outer)
-    return out.withColumn("taken", (F.col("size") * (F.col("_epochs") + F.col("_drawn").cast("int"))).cast("long")).withColumn("copies", (F.col("_epochs") + F.col("_drawn").cast("int")).cast("int")).drop("_s", "_e", "_w", "_tie", "_rows", "_epochs", "_budget", "_slice", "_at", "_before", "_drawn")
+    return out.withColumn("taken", (F.col("size") * (F.col("_epochs") + F.col("_drawn").cast("int"))).cast("long")).withColumn("copies", (F.col("_epochs") + F.col("_drawn").cast("int")).cast("int")).drop("_s", "_e", "_w", "_tie", "_name", "_rows", "_epochs", "_budget", "_slice", "_at", "_before", "_drawn")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

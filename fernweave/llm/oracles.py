@@ -39,7 +39,7 @@ t AS (
 e AS (
   SELECT d.doc_id, d.size, t.n AS source_size, t.target, d.source,
     CASE WHEN t.n > 0 THEN floor(t.target / t.n) ELSE 0 END AS epochs,
-    -ln((CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE + 1.0) / 4503599627370496.0)
+    -ln((CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'text:' || md5(d.text))), 1, 13)) AS BIGINT)::DOUBLE + 1.0) / 4503599627370496.0)
       / greatest(0.05, 1.0 - 4.0 * ((length(d.text) - length(translate(d.text, '#*$%&|<>!', '')))::DOUBLE / greatest(length(d.text), 1)::DOUBLE)) AS key
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, target - epochs * source_size AS budget, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM e)

@@ -3,11 +3,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from fernweave.llm import quality_rules as Q
 from fernweave.llm import rule_ensemble as E
 from fernweave.llm.common import text_bytes
-from fernweave.llm.mixing import targets
+from fernweave.llm.mixing import exponential_key, mix, name_of, source_targets
 
 
 def brute(text):
@@ -80,15 +81,43 @@ def test_no_labels_of_a_class():
     assert E.fit(np.zeros((0, len(E.NAMES))), np.zeros(0)) == ([], 0.0)
 
 
-def test_targets():
-    got = targets([("b", 100), (None, 10), ("a", 10)], (3, 1, 2), 1.5, 2)
-    assert [s for s, _ in got] == ["a", "b", None]
-    assert got[0][1] == 20 and got[2][1] == 20 and abs(got[1][1] - 140) < 1e-9
+def brute_targets(sizes, weights, share, most):
+    """By shares of a slowly rising level: each source gets its weight's part up to its cap."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, low, high = share * sum(sizes.values()), 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(most * sizes[s], mid * w[s]) for s in order) < total else (low, mid)
+    return {s: min(most * sizes[s], low * w[s]) for s in order}
 
 
-def test_mix_meets_targets(spark, many_docs, edge_docs, no_docs):
-    from fernweave.llm.mixing import mix
+def test_targets(spark):
+    rng = random.Random(2)
+    for n, weights, share, most in ((3, (3, 1, 2), 1.5, 2), (40, (3, 1, 2), 1.5, 2), (25, (1, 50), 1.9, 2), (9, (1,), 0.5, 2), (1, (3, 1, 2), 1.5, 2)):
+        sizes = {(None if i == 0 else f"{rng.choice('aäzZ𝄞ﬀ')}{i}"): rng.choice([0, 1, 10, 10**rng.randint(1, 8)]) for i in range(n)}
+        df = spark.createDataFrame([(s, x) for s, x in sizes.items()], "source string, size long").repartition(3)
+        got = {r["_ps"]: r for r in source_targets(df, "source", weights, share, most).collect()}
+        want = brute_targets(sizes, weights, share, most)
+        assert set(got) == set(want) and all(got[s]["source_size"] == sizes[s] for s in got)
+        assert all(abs(got[s]["target"] - want[s]) <= 1e-6 * max(1, want[s]) for s in got), (sizes, got, want)
+
+
+def test_many_sources(spark):
+    """More sources than a driver would list; each meets its target as nearly as whole documents allow."""
+    df = spark.range(120_000).selectExpr("id doc_id", "concat(repeat('w ', cast(id % 3 + 1 as int)), id) text", "cast(id % 110000 as string) source")
+    out = mix(df, keep_text=False)
+    assert out.count() == 120_000 and out.where("taken > 2 * size").count() == 0
+    assert out.groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).where("abs(`sum(taken)` - `max(target)`) > `max(size)`").count() == 0
+
 
+def test_rows_without_id_have_keys_of_their_own(spark):
+    df = spark.range(1000).selectExpr("cast(null as long) doc_id", "concat('text ', id) text")
+    keys = df.select(exponential_key(name_of(df.doc_id, df.text), F.lit(1.0))).distinct().count()
+    assert keys == 1000
+
+
+def test_mix_meets_targets(spark, many_docs, edge_docs, no_docs):
     for df in (many_docs, edge_docs):
         one, two = mix(df), mix(df.repartition(3))
         assert sorted(map(repr, one.select("doc_id", "taken").collect())) == sorted(map(repr, two.select("doc_id", "taken").collect()))
@@ -99,6 +128,4 @@ def test_mix_meets_targets(spark, many_docs, edge_docs, no_docs):
 
 
 def test_slices_agree_with_one_sort(spark, many_docs, rows):
-    from fernweave.llm.mixing import mix
-
     assert rows(mix(many_docs, slice_rows=5), "doc_id", "taken") == rows(mix(many_docs, slice_rows=10**6), "doc_id", "taken")
