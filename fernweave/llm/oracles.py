@@ -126,7 +126,7 @@ moves AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind
 r0 AS (SELECT kind, host, seed AS mass FROM seeds),
 """ + ",\n".join(steps) + f""",
 v AS (SELECT hosts.host, coalesce(sum(mass) FILTER (kind = 1), 0) AS bad, coalesce(sum(mass) FILTER (kind = 0), 0) AS good, any_value(n)::DOUBLE / (SELECT sum(n) FROM hosts) AS share FROM hosts LEFT JOIN r{rounds} r ON r.host = hosts.host GROUP BY hosts.host)
-SELECT page_id, p.host, path, rule, coalesce(by_rule, CASE WHEN bad > good AND bad > 2.0 * share THEN 'block' ELSE 'allow' END) AS verdict FROM p JOIN v ON p.host = v.host
+SELECT page_id, p.host, path, rule, coalesce(by_rule, CASE WHEN round(bad, 12) > round(good, 12) AND round(bad, 12) > round(2.0 * share, 12) THEN 'block' ELSE 'allow' END) AS verdict FROM p JOIN v ON p.host = v.host
 """
 
 
