@@ -22,6 +22,8 @@ import unicodedata
 
 import numpy as np
 
+from .bytetext import code_points
+
 CHUNK, MOST_STATES = 128, 150_000
 #: Entering states by which a chunk's map is held at most; where more would be needed, the rest is read chunk by chunk.
 MOST_ENTRIES = 48
@@ -408,21 +410,6 @@ def class_table() -> np.ndarray:
     return _classes[0]
 
 
-def code_points(data: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """The code points of UTF-8 bytes, given where each begins."""
-    p = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
-    a = p[lead]
-    out = a.copy()
-    for n, low in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):
-        m = np.flatnonzero((a >= low) & (a < (0xE0, 0xF0, 0xF8)[n - 2]))
-        if len(m):
-            x = a[m] & (0x7F >> n)
-            for j in range(1, n):
-                x = x << 6 | (p[lead[m] + j] & 0x3F)
-            out[m] = x
-    return np.minimum(out, 0x10FFFF)
-
-
 def pretoken_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where pre-tokens begin, by byte. bounds: where texts begin, and the end.
 

@@ -148,17 +148,34 @@ def statistics(data: np.ndarray, offsets: np.ndarray, symbols: bytes = b"#*$%&|<
     return out
 
 
+def code_points(data: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The code points of UTF-8 bytes, given where each begins."""
+    p = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    a = p[lead]
+    out = a.copy()
+    for n, low in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        m = np.flatnonzero((a >= low) & (a < (0xE0, 0xF0, 0xF8)[n - 2]))
+        if len(m):
+            x = a[m] & (0x7F >> n)
+            for j in range(1, n):
+                x = x << 6 | (p[lead[m] + j] & 0x3F)
+            out[m] = x
+    return np.minimum(out, 0x10FFFF)
+
+
 def gram_buckets(data: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all runs of n bytes that lie within a text, and the index of their text's first run in them.
+    """Buckets of all runs of n characters that lie within a text, and the index of their text's first run in them.
 
     Runs across texts are left out by their position, so text i has lengths[i] - n + 1 runs or none.
     """
-    if len(data) < n:
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(lead) < n:
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    h = np.zeros(len(data) - n + 1, np.uint32)
+    cp, offsets = code_points(data, lead), np.searchsorted(lead, offsets)
+    h = np.zeros(len(cp) - n + 1, np.uint32)
     for j in range(n):
         h *= np.uint32(0x01000193)
-        h += data[j : len(data) - n + 1 + j]
+        h += cp[j : len(cp) - n + 1 + j]
     h *= np.uint32(0x9E3779B1)
     h >>= np.uint32(32 - bits)
     sizes = np.maximum(np.diff(offsets) - n + 1, 0)

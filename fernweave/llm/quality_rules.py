@@ -1,14 +1,16 @@
 """Quality rules: exact statistics with fixed limits, then hashed n-grams in a logistic regression.
 
-The regression has a weight for each bucket of hashed words and of hashed byte 4-grams; a text's
+The regression has a weight for each bucket of hashed words and of hashed character 4-grams; a text's
 features are the shares of its words and of its 4-grams in these buckets. It is trained on a bounded
 sample of labelled rows (`SAMPLE`: the rows of the smallest hashes of doc_id, `SAMPLE` at most), made a
 probability by Platt scaling on a quarter of the sample that training doesn't see, and scored in Arrow
-batches over whole texts. Statistics, scores and decisions cover all rows and all of each text.
+batches over whole texts. The sample's texts become features where they are read: the one task that
+trains gets at most 2^17 numbers a row, however long a text is. Statistics, scores and decisions cover all rows and all of each text.
 
 Defined cases: a null or empty text has no words, so it fails the base limits; without labelled rows
-of both classes the regression keeps all; labels other than 0 and 1 are left out; equal rows get equal
-results; columns other than doc_id and text are passed by; an empty table gives an empty result.
+of both classes the regression keeps all; labels other than 0 and 1 are left out, of several labels of a
+doc_id the least counts, and of several texts that of the least hash; doc_id is a whole number or null
+(another type is an error); equal rows get equal results; columns other than doc_id and text are passed by; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int, label: str = "qualit
     """(doc_id, text, y): `most` labelled rows at most, of the smallest hashes of doc_id; one row a document."""
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # `most` rows: a bound by parameter
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` rows: a bound by parameter
+    return own.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("doc_id", "text", "y")
 
 
 def word_buckets(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +45,7 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.n
 
 
 def families(data: np.ndarray, offsets: np.ndarray, bits: int, gram: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, bounds by text) of words and of byte n-grams."""
+    """(buckets, bounds by text) of words and of character n-grams."""
     return [word_buckets(data, offsets, bits), gram_buckets(data, offsets, gram, bits)]
 
 
@@ -74,9 +77,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def sparse(texts: list[str | None], bits: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sparse(texts: pa.Array, bits: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, share) of texts, in the order of rows. A few texts at a time bound the memory."""
-    data, offsets, _ = text_bytes(pa.array(texts, pa.large_string()))
+    data, offsets, _ = text_bytes(texts)
     rows, cols, vals = [], [], []
     for k, (b, bounds) in enumerate(families(data, offsets, bits, gram)):
         of = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -91,7 +94,16 @@ def sparse(texts: list[str | None], bits: int, gram: int) -> tuple[np.ndarray, n
 
 
 def train(texts: list[str | None], y: np.ndarray, rounds: int = 60, l2: float = 1e-4, bits: int = BITS, gram: int = GRAM) -> Model:
-    """Accelerated gradient descent on three quarters of the rows, Platt scaling on the last quarter."""
+    """The model of labelled texts."""
+    blocks = [(at, *sparse(pa.array(texts[at : at + 64], pa.large_string()), bits, gram)) for at in range(0, len(texts), 64)]
+    return train_on(blocks, y, rounds, l2, bits, gram)
+
+
+def train_on(blocks: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 60, l2: float = 1e-4, bits: int = BITS, gram: int = GRAM) -> Model:
+    """Accelerated gradient descent on three quarters of the rows, Platt scaling on the last quarter.
+
+    blocks: (first row, row within, feature, share) of 64 rows each; products are made a block at a time.
+    """
     m = Model(bits, gram)
     if len(y) < 8 or y.min() == y.max():
         return m
@@ -99,7 +111,6 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 60, l2: float =
     if len(set(y[fit])) < 2 or len(set(y[~fit])) < 2:
         fit[:] = True
     n, size = len(y), 2 << bits
-    blocks = [(at, *sparse(texts[at : at + 64], bits, gram)) for at in range(0, n, 64)]  # products are made a block at a time
     # features have the same say whatever their usual share: divided by the root of their mean square
     rms = np.sqrt(sum(np.bincount(c, v * v, size) for _, _, c, v in blocks) / n) + 1e-3
     blocks = [(at, r, c, (v / rms[c] / np.sqrt(2 << 5)).astype(np.float32)) for at, r, c, v in blocks]
@@ -156,15 +167,30 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
 def fitted(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Model:
     """The model from the labelled rows of a corpus: trained in one task on its bounded sample, so the driver gets the weights only."""
 
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 1 << 20):
+            r, c, v = sparse(b.column(2), BITS, GRAM)
+            at = pa.array(np.searchsorted(r, np.arange(b.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(c, pa.int32())), pa.ListArray.from_arrays(at, pa.array(v, pa.float32()))], names=["doc_id", "y", "c", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
-        m = train([t for _, t, _ in rows], np.asarray([y for *_, y in rows], int))
+        rows = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else None
+        if rows is None:
+            return
+        rows, blocks = rows.sort_by("doc_id"), []
+        for at in range(0, rows.num_rows, 64):
+            own = rows.slice(at, 64)
+            c, v = (np.concatenate([x.values.to_numpy() for x in own.column(k)]) for k in ("c", "v"))
+            blocks.append((at, np.repeat(np.arange(own.num_rows), [len(x) for x in own.column("c")]), c, v))
+        m = train_on(blocks, rows.column("y").to_numpy().astype(int))
         if m.ready:
             trim()
             yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes() for w in m.weights], pa.binary()), "k": pa.array([0, 1], pa.int32()), "bias": [m.bias] * 2, "scale": [m.scale] * 2, "shift": [m.shift] * 2})
 
+    schema = pa.schema({"doc_id": pa.int64(), "y": pa.int32(), "c": pa.list_(pa.int32()), "v": pa.list_(pa.float32())})
     rows = labelled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), sample)
-    got = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "w binary, k int, bias double, scale double, shift double").collect()
+    made = rows.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), F.col("text").cast("string")).mapInArrow(features, "doc_id long, y int, c array<int>, v array<float>")
+    got = made.repartition(1).mapInArrow(run, "w binary, k int, bias double, scale double, shift double").collect()
     m = Model()
     if got:
         m.weights = [np.frombuffer(bytes(r["w"]), np.float32) for r in sorted(got, key=lambda r: r["k"])]

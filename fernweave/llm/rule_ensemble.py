@@ -9,7 +9,8 @@ lang, source and doc_id are no inputs of a score.
 
 Defined cases: a null or empty text has statistics of zero and is scored like any other; labels other
 than 0 and 1 are left out; without labelled rows of both classes the score is the share of label 1
-(0.5 without any); equal rows get equal results; a null doc_id is never held out; an empty table gives
+(0.5 without any); of several labels of a doc_id the least counts, and of several texts that of the least
+hash; doc_id is a whole number or null (another type is an error); equal rows get equal results; a null doc_id is never held out; an empty table gives
 an empty result.
 """
 

@@ -66,6 +66,50 @@ def test_rules_held_out(spark):
     assert all(got[i].predicted == int(p[i] >= 0.3) for i in got)
 
 
+def test_features_by_brute_force(edge_rows, many_rows):
+    """Each statistic of the rules, counted character by character."""
+    texts = [r[1] for r in edge_rows + many_rows] + ["A-b!, c\nA-b!, c\n| ü é 12;", "ÄÖ  x.y?"]
+    got = E.features(*text_bytes(pa.array(texts, pa.large_string()))[:2])
+    for t, row in zip(texts, got.tolist(), strict=True):
+        n, chars, symbols, dups, again = brute(t)
+        t = t or ""
+        share = lambda marks, by: sum(c in marks for c in t) / max(by, 1)
+        lines = t.count("\n") + 1
+        want = [len(t.encode()), n, chars / max(n, 1), symbols / max(len(t), 1), sum("A" <= c <= "Z" for c in t) / max(n, 1), share("0123456789", len(t)), share("|", n), share("!", n), share(".?", n), share(",;:", n), lines / max(n, 1), dups / lines, None if again is None else again / max(n, 1), len(t.encode()) / max(len(t), 1)]
+        assert all(w is None or abs(w - x) < 1e-9 for w, x in zip(want, row, strict=True)), (t[:60], want, row)
+
+
+def test_grams_are_of_characters():
+    texts = ["naïve", "日本語のテキスト", "abc", "", "𝄞𝄞𝄞𝄞𝄞"]
+    b, bounds = Q.gram_buckets(*text_bytes(pa.array(texts, pa.large_string()))[:2], 4, 16)
+    assert np.diff(bounds).tolist() == [max(0, len(t) - 3) for t in texts] and len(b) == bounds[-1]
+    assert len(set(b[bounds[1] : bounds[2]].tolist())) == 5 and len(set(b[bounds[4] :].tolist())) == 1
+
+
+def test_queries_whole(spark, tmp_path):
+    """op3 and op7 on tables of their own: held-out rows, repeated ids, odd labels; two runs agree."""
+    texts, y = labelled_texts(120, 5)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[150]), (0, texts[0]), (None, "no id"), (9999, None)]
+    labels = [(i, int(v), 0) for i, v in enumerate(y)] + [(3, 7, 0), (None, 1, 0), (4, 1, 0), (4, 1, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    import zlib
+
+    for f in (E.op3_rule_ensemble, Q.op7_quality_rules):
+        one, two = (sorted(map(repr, f(spark, f"file://{tmp_path}").collect())) for _ in range(2))
+        assert one == two and len(one) == len(rows)
+    got = E.op3_rule_ensemble(spark, f"file://{tmp_path}").collect()
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    held = [(r.score >= 0.5) == bool(y[r.doc_id]) for r in got if r.held_out and 0 < r.doc_id < len(y)]
+    assert len(held) > 30 and np.mean(held) > 0.9
+    kept = {r.doc_id: r for r in Q.op7_quality_rules(spark, f"file://{tmp_path}").collect()}
+    for i, t in rows[1:240]:
+        s = brute(t)
+        assert tuple(kept[i])[1:6] == s and kept[i].base_failed == (s[0] < 10 or 100 * s[4] > 20 * s[0])
+        assert kept[i].kept == (not kept[i].base_failed and kept[i].score >= 0.3)
+
+
 def test_edges(spark, edge_docs, no_docs, edge_rows):
     out = Q.judged(edge_docs, Q.Model())
     assert out.count() == len(edge_rows)
