@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_dir, shared_dir
+
 #: Words of the contracts that split on ASCII white space, as a Java, RE2 and Python pattern.
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,32 +27,47 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="fernweave-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Folders of the tables that this process has written and not deleted.
+_folders: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, cut off from its lineage: a Parquet table in the shared folder that survives lost executors."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
+    _folders.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _folders:
+        _folders.remove(path)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the tables that `written` made for df, once nothing reads them any more."""
-    spark = df.sparkSession
     for f in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, next((x for x in _folders if same_place(x, f)), f))
+
+
+def same_place(a: str, b: str) -> bool:
+    """Whether two names of a folder differ by slashes before the path only."""
+    return a.replace("///", "/") == b.replace("///", "/")
+
+
+def marked() -> int:
+    """A mark for drop_since."""
+    return len(_folders)
+
+
+def drop_since(mark: int, kept: DataFrame) -> None:
+    """Deletes the tables written since the mark, but for kept, once nothing reads them any more."""
+    own = [os.path.dirname(f) for f in kept.inputFiles()]
+    for path in _folders[mark:]:
+        if not any(same_place(path, f) for f in own):
+            delete(kept.sparkSession, path)
 
 
 def trim() -> None:
@@ -110,3 +125,6 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             at = to
         del batch, col
     trim()
+
+
+__all__ = ["BATCH_BYTES", "LOWER", "SPACE_WORDS", "UPPER", "drop_since", "drop_written", "fresh_dir", "lower_ascii", "marked", "pieces", "read", "row_key", "shared_dir", "small_enough", "text_bytes", "trim", "written"]

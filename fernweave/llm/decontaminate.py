@@ -88,6 +88,7 @@ def hit_windows(docs: DataFrame, sketch: DataFrame, items: DataFrame, k: int, sp
         w = docs.select(row_key().alias("_k"), words(F.col("text")).alias("_w"))
     for n in short:
         whole = known.where(F.col("n") == n).drop("n")
+        whole = F.broadcast(whole) if small_enough(whole, row_bytes=512) else whole  # then no run of a document is shuffled
         runs = w.where(F.size("_w") >= n).select("_k", F.posexplode(windows("_w", n)).alias("start", "window"))
         out = out.unionByName(runs.join(whole, "window").withColumn("n", F.lit(n)).dropDuplicates(["_k", "start", "n"]))
     return out.select("_k", "start", "n", "item_ids")

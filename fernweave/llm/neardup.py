@@ -9,9 +9,10 @@ tree, so 12 trees find a pair of 0.85 in some leaf of the first level with 1 - 0
 Work within a node is done without listing all its pairs. First every class is compared with one
 pivot of each of its nodes, of large ones the class that shares most of its tokens with others (the
 original of a group of copies); the links found are joined to components. Then leaves compare only
-classes of different components. Nodes that are still large at the last level are cut in blocks, and
-block against block the classes of different components are compared on their full sets; of the links
-found a spanning forest is kept. So no link between components is lost to a node's size, and groups
+classes of different components. Nodes that are still large at the last level are cut in blocks of a
+bounded number of classes and of bytes; block against block the classes of different components are
+compared by MinHash bytes, and those that are likely near one are compared on their full sets; of the
+links found a spanning forest is kept. So no link between components is lost to a node's size, and groups
 of thousands of copies cost a few comparisons a member.
 
 Candidates whose 128 MinHash bytes agree in fewer than 84 places are dropped: below 1e-6 of pairs at
@@ -37,7 +38,7 @@ from .common import drop_written, pieces, read, row_key, small_enough, text_byte
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
-TREES, DEPTH, LEAF, HASHES, AGREE, BLOCK = 12, 4, 16, 128, 84, 1024
+TREES, DEPTH, LEAF, HASHES, AGREE, BLOCK, BLOCK_BYTES = 12, 4, 16, 128, 84, 1024, 16 << 20
 _rng = np.random.default_rng(20261)
 XOR = _rng.integers(0, 1 << 32, HASHES, np.uint32)
 ODD = _rng.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
@@ -128,30 +129,39 @@ def paths(classes: DataFrame) -> DataFrame:
     return classes.select("c", "sig").mapInArrow(run, "c binary, " + ", ".join(f"p{i} long" for i in range(DEPTH)))
 
 
-def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(leaves, stars, wide): members of leaves (node, c), pairs with a pivot (u, v), members of last-level nodes that are large (node, c)."""
-    rows, leaves, stars = paths(classes), [], []
-    score = None
-    for level in range(DEPTH):
+def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(leaves, pairs, wide, tables): members of leaves (node, c), pairs with a pivot (u, v), members of last-level nodes that are large (node, c), and the tables that they are read from.
+
+    Of each level's nodes the size, the least class and the pivot are one aggregate, written before it is joined with the
+    members: so both sides of the join come from a shuffle, and the members of one large node are split over tasks.
+    """
+    rows, leaves, stars, tables = paths(classes), [], [], []
+
+    def joined(rows: DataFrame, level: int, *more) -> DataFrame:
         p = f"p{level}"
-        sizes = rows.groupBy(p).agg(F.count("*").alias("_m")).where("_m > 1").withColumnRenamed(p, "_node")
-        rows = rows.drop("_m").join(sizes, F.col(p) == F.col("_node")).drop("_node")
-        rows = written(rows, "tree")
-        own = written(rows.where(F.col("_m") <= LEAF).select(F.col(p).alias("node"), "c"), "leaves")
-        leaves.append(own)
-        low = own.groupBy("node").agg(F.min("c").alias("u"))
-        stars.append(written(own.join(low, "node").select("u", F.col("c").alias("v")).where("u != v"), "stars"))
-        rows = rows.where(F.col("_m") > LEAF)
-        if score is None:  # how many share a class's tokens, over the trees
-            score = rows.groupBy("c").agg(F.sum(F.log(F.col("_m").cast("double"))).alias("_s"))
-            rows = written(rows.join(score, "c"), "tree")
-        pivot = rows.groupBy(p).agg(F.max(F.struct("_s", "c")).alias("_p")).select(F.col(p).alias("_node"), F.col("_p.c").alias("u"))
-        stars.append(written(rows.join(pivot, F.col(p) == F.col("_node")).select("u", F.col("c").alias("v")).where("u != v"), "stars"))
+        nodes = written(rows.groupBy(p).agg(F.count("*").alias("_m"), F.min("c").alias("_low"), *more).where("_m > 1").withColumnRenamed(p, "_node"), "nodes")
+        out = written(rows.join(nodes.hint("merge"), F.col(p) == F.col("_node")).drop("_node"), "tree")
+        drop_written(nodes)
+        return out
+
+    for level in range(DEPTH):
+        pivot = F.max(F.struct("_s", "c"))["c"].alias("_pivot")
+        own = joined(rows, level, *([pivot] if level else []))
+        tables.append(own)
+        small = own.where(F.col("_m") <= LEAF)
+        leaves.append(small.select(F.col(f"p{level}").alias("node"), "c"))
+        stars.append(small.select(F.col("_low").alias("u"), F.col("c").alias("v")))
+        rows = own.where(F.col("_m") > LEAF)
+        if not level:  # how many share a class's tokens, over the trees, says which class is a node's pivot
+            score = written(rows.groupBy("c").agg(F.sum(F.log(F.col("_m").cast("double"))).alias("_s")), "score")
+            own = joined(rows.drop("_m", "_low").join(score, "c"), level, pivot)
+            tables += [score, own]
+            rows = own
+        stars.append(rows.select(F.col("_pivot").alias("u"), F.col("c").alias("v")))
+        rows = rows.drop("_m", "_low", "_pivot")
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    pairs = written(union(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    for x in stars:
-        drop_written(x)
-    return union(leaves), pairs, rows.select(F.col(f"p{DEPTH - 1}").alias("node"), "c")
+    pairs = written(union(stars).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    return union(leaves), pairs, rows.select(F.col(f"p{DEPTH - 1}").alias("node"), "c"), [*tables, pairs]
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -214,7 +224,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def block_links(rows: DataFrame) -> DataFrame:
     """Links within groups (g, side, c, comp, s): side 0 against side 1, or with itself where there is only side 0.
 
-    A group has 2 * BLOCK rows at most. Of its links a spanning forest over the components is returned.
+    A group has 2 * BLOCK rows and 2 * BLOCK_BYTES of sets, or so, at most. Of its links a spanning forest over the
+    components is returned.
     """
 
     def links(pdf):
@@ -253,14 +264,37 @@ def block_links(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g").applyInPandas(links, "u binary, v binary")
 
 
-def wide_groups(wide: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """The groups for block_links: nodes with several components, cut in blocks, each against each."""
-    rows = wide.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    node = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").drop("lo", "hi")
-    rows = rows.join(node, "node").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
+def wide_groups(wide: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """(g, side, c, comp): the groups for block_links. Nodes with several components are cut in blocks of BLOCK classes and BLOCK_BYTES of sets at most, each against each.
+
+    The blocks are compared by MinHash bytes first, and only classes stay that are likely to be near one of another
+    component. So full sets are moved for those only.
+    """
+    side = classes.select("c", "n", F.expr(f"substring(sig, {TREES * DEPTH * 4 + 1}, {HASHES})").alias("b"))
+    rows = written(wide.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(side, "c"), "wide")
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 6 / BLOCK_BYTES)).cast("int").alias("k")
+    node = written(rows.groupBy("node").agg(size, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").drop("lo", "hi"), "nodes")
+    rows = rows.join(node.hint("merge"), "node").withColumn("i", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("g"), (F.col("i") > F.col("j")).cast("int").alias("side"), "c", "comp")
-    return rows.join(sets, "c")
+    rows = rows.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("g"), (F.col("i") > F.col("j")).cast("int").alias("side"), "c", "comp", "n", "b")
+
+    def near(pdf):
+        import pandas as pd
+
+        b = np.frombuffer(b"".join(bytes(x) for x in pdf["b"]), np.uint8).reshape(len(pdf), -1)
+        comps, sides, n = pd.factorize(pdf["comp"].map(bytes))[0], pdf["side"].to_numpy(), pdf["n"].to_numpy()
+        one, found = sides.max() == 0, np.zeros(len(pdf), bool)
+        right = np.flatnonzero(sides == (0 if one else 1))
+        for i in np.flatnonzero(sides == 0):
+            j = right[(comps[right] != comps[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
+            hit = j[(b[j] == b[i]).sum(1) >= AGREE]
+            if len(hit):
+                found[i] = True
+                found[hit] = True
+        trim()
+        return pdf.loc[found, ["g", "side", "c", "comp"]]
+
+    return rows.groupBy("g").applyInPandas(near, "g long, side int, c binary, comp binary")
 
 
 def classes_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -272,10 +306,10 @@ def classes_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame,
 
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that have links."""
-    leaves, stars, wide = tree_nodes(classes)
+    leaves, stars, wide, tables = tree_nodes(classes)
     first = written(likely(stars, classes), "pairs")
     names = classes.select("c", "rep")
-    inside = first.select(F.col("u").alias("c")).unionByName(first.select(F.col("v").alias("c"))).unionByName(wide.select("c")).distinct()
+    inside = first.select(F.col("u").alias("c")).unionByName(first.select(F.col("v").alias("c"))).distinct()
     sets = written(full_sets(docs, names.join(inside, "c", "left_semi")), "sets")
     links = written(confirmed(first, sets), "links")
     comp = written(components(links).select(F.col("node").alias("c"), F.col("component").alias("comp")), "comp")
@@ -285,11 +319,12 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     own = own.join(mixed_nodes, "node", "left_semi")
     second = own.selectExpr("node", "c as u", "comp as cu").join(own.selectExpr("node", "c as v", "comp as cv"), "node").where("u < v and cu != cv").select("u", "v").distinct()
     second = written(likely(second.join(stars, ["u", "v"], "left_anti"), classes), "pairs")
-    more = second.select(F.col("u").alias("c")).unionByName(second.select(F.col("v").alias("c"))).distinct().join(sets.select("c"), "c", "left_anti")
+    blocks = written(wide_groups(wide, comp, classes), "blocks")
+    more = second.select(F.col("u").alias("c")).unionByName(second.select(F.col("v").alias("c"))).unionByName(blocks.select("c")).distinct().join(sets.select("c"), "c", "left_anti")
     sets2 = written(full_sets(docs, names.join(more, "c", "left_semi")), "sets")
-    found = confirmed(second, sets.unionByName(sets2))
-    found = written(found.unionByName(block_links(wide_groups(wide, comp, sets))), "links")
-    for x in (sets, sets2, first, second, links):
+    both = sets.unionByName(sets2)
+    found = written(confirmed(second, both).unionByName(block_links(blocks.join(both, "c"))), "links")
+    for x in (sets, sets2, first, second, links, blocks, *tables):
         drop_written(x)
     if found.isEmpty():
         return comp.select(F.col("c").alias("node"), F.col("comp").alias("component"))
