@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fernweave.llm import decontaminate, mixing, neardup, pii, quality_rules
-from fernweave.llm.common import read, written
+from fernweave.llm.common import drop_since, marked, read, written
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
@@ -21,8 +21,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is a Parquet table in the shared folder, read again by the next."""
-    docs = read(spark, sf_dir, "documents")
+    """Applies the stages to documents; each result is a Parquet table in the shared folder, read again by the next.
+
+    What a stage has written on its way, and the result before, are deleted when its own result is there.
+    """
+    docs, mark = read(spark, sf_dir, "documents"), marked()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_since(mark, docs)
     return docs
