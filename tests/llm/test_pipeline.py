@@ -11,13 +11,13 @@ import corpus_pipeline as C
 from fernweave.llm import quality_rules, queries
 from fernweave.llm.common import text_bytes
 from fernweave.llm.decontaminate import decontaminate
-from fernweave.llm.mixing import targets
 from fernweave.llm.pii import base_spans, find, redacted
 from fernweave.llm.pii_model import trained
 
 from .test_decontaminate import brute as brute_hits
 from .test_graphs import brute_components
 from .test_quality import brute as statistics
+from .test_quality import brute_targets
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -96,7 +96,7 @@ def brute_mix(rows):
     for r in rows:
         total[r[3]] = total.get(r[3], 0) + size(r[1])
     out = []
-    for source, target in targets(list(total.items()), (3, 1, 2), 1.5, 2):
+    for source, target in brute_targets(total, (3, 1, 2), 1.5, 2).items():
         own = []
         for r in rows:
             if r[3] == source:

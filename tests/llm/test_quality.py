@@ -1,5 +1,6 @@
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -126,14 +127,19 @@ def test_no_labels_of_a_class():
 
 
 def brute_targets(sizes, weights, share, most):
-    """By shares of a slowly rising level: each source gets its weight's part up to its cap."""
+    """In fractions, one source capped at a time: the one that gets most beyond its cap."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, low, high = share * sum(sizes.values()), 0.0, 1e12
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if sum(min(most * sizes[s], mid * w[s]) for s in order) < total else (low, mid)
-    return {s: min(most * sizes[s], low * w[s]) for s in order}
+    w = {s: Fraction(weights[i % len(weights)]) for i, s in enumerate(order)}
+    left, free, out = Fraction(share) * sum(sizes.values()), list(order), {}
+    while free:
+        worst = min(free, key=lambda s: most * sizes[s] / w[s])
+        part = left / sum(w[s] for s in free)
+        if part * w[worst] <= most * sizes[worst]:
+            return out | {s: float(part * w[s]) for s in free}
+        out[worst] = float(most * sizes[worst])
+        left -= most * sizes[worst]
+        free.remove(worst)
+    return out
 
 
 def test_targets(spark):
