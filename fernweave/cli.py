@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import server
+from .build import Build, counts_at, publish, write_results
 from .config import configured, paths
 from .operators import explore, guard, search, snapshot
 from .operators.cards import build_cards
 from .operators.embed import HashingEmbedder, embed_query, read_index, write_index
-from .plans.construct import Construct, issue_comments
-from .sources import docs, git, manifest, ntriples, tracker
+from .plans.graph import Graph
+from .sources import manifest, ntriples
 
-COMMANDS = ("search", "path", "history", "build", "digest", "parts", "materialise", "embed", "guard", "check", "preflight", "serve")
+COMMANDS = ("search", "path", "history", "build", "refresh", "digest", "parts", "materialise", "embed", "guard", "check", "preflight", "serve")
 
 
 def session(name: str = "fernweave") -> SparkSession:
@@ -51,35 +54,36 @@ def find(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return search.lexical(g, a.term, a.limit)
 
 
-def build(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """A graph of a repository, its documents and a tracker export; each source may fail without the others."""
+def build(spark: SparkSession, a: argparse.Namespace) -> tuple[Build, Graph]:
+    """A graph of a manifest's sources, or of those that are named; written, with each source's result beside it."""
     m = manifest.load(a.manifest) if a.manifest else {}
-    cfg = configured(m)
-    c, run, parts, results = Construct(cfg), "cli", [], []
-
-    def source(name: str, make) -> None:
-        try:
-            made = make()
-            n = made.count()  # forces the source on its own
-            parts.append(made)
-            results.append({"source": name, "status": "ok", "quads": n})
-        except Exception as e:
-            results.append({"source": name, "status": "failed", "reason": str(e)[:300]})
-
-    if a.repo:
-        slug = a.slug or a.repo.rstrip("/").split("/")[-1]
-        source("git log", lambda: c.commits(git.logged_commits(git.land_log(spark, a.repo, a.max_commits), slug)))
-        files = lambda: git.listed_files(git.land_listing(spark, a.repo), slug, cfg.doc_exclude)
-        texts = lambda: docs.markdown_files(spark, "file://" + a.repo, slug).select("path", "text")
-        source("git files", lambda: c.files(git.doc_heads(files(), texts())))
-        source("solutions", lambda: c.solutions(docs.folded(docs.front_matter(docs.markdown_files(spark, f"file://{a.repo}/docs/solutions", slug)), cfg.teams), run))
-    if a.tracker:
-        rows = lambda: tracker.issues(tracker.raw_records(spark, a.tracker))
-        source("issues", lambda: c.issues(rows()))
-        source("comments", lambda: c.comments(issue_comments(rows()), run))
-    g = ntriples.empty_graph(spark, cfg).added(c.run(spark, run), *parts)
-    ntriples.write_quads(g, a.graph)
-    return {"quads": ntriples.read_quads(spark, a.graph, cfg).quads.count(), "sources": results}
+    if found := manifest.problems(m):
+        raise SystemExit("\n".join(found))
+    b = Build(spark, m, a.landed, ntriples.prior_graph(spark, a.graph, configured(m)))
+    try:
+        g = b.all(a.repo, a.slug, a.tracker, a.repos_root, a.max_commits)
+        ntriples.write_quads(g, a.graph + ".new")  # the graph before may be read by the plan
+        b.prior = None
+        ntriples.write_quads(ntriples.read_quads(spark, a.graph + ".new", b.cfg), a.graph)
+    except Exception as e:
+        b.results.append({"source": "all", "kind": "build", "status": "failed", "reason": str(e)[:300], "counts": {}})
+        raise
+    finally:
+        write_results(a.results or a.graph.rstrip("/") + ".sources.json", b.results)
+    return b, ntriples.read_quads(spark, a.graph, b.cfg)
+
+
+def refresh(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A build, its checks and the guard against what was published before; one line of figures."""
+    began = time.time()
+    b, g = build(spark, a)
+    failed = sum(r["status"] == "failed" and r["kind"] == "pulls" for r in b.results)
+    complete = guard.comments_complete(failed, sum(r["kind"] == "pulls" for r in b.results), any("rate limit" in r.get("reason", "").lower() for r in b.results))
+    out = publish(spark, g, a.parts, a.vectors, a.previous, a.issue_count, began=began)
+    print(json.dumps(out | {"sources": b.results, "complete": complete}))
+    if out["guard"] and out["guard"]["verdict"] == "refuse":
+        return guard.REFUSE
+    return int(b.failed() or not complete or out["violations"] > 0)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -109,10 +113,14 @@ def parser() -> argparse.ArgumentParser:
     for o in ("branch", "since", "until", "kind"):
         h.add_argument(f"--{o}")
     h.add_argument("--pr", type=int)
-    b = command("build")
-    for o in ("manifest", "repo", "slug", "tracker"):
-        b.add_argument(f"--{o}")
-    b.add_argument("--max-commits", type=int, default=500)
+    for name in ("build", "refresh"):
+        b = command(name)
+        for o in ("manifest", "repo", "slug", "tracker", "landed", "repos-root", "results"):
+            b.add_argument(f"--{o}")
+        b.add_argument("--max-commits", type=int, help="newest ones only; all by default")
+    b.add_argument("--parts", default=os.path.join(os.path.dirname(where.graph) or ".", "parts"))
+    b.add_argument("--previous", help="parts before: a folder, or <ref>:<path>")
+    b.add_argument("--issue-count", type=int, default=0)
     command("digest")
     command("embed")
     command("parts").add_argument("folder")
@@ -128,13 +136,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def counts(spark: SparkSession, folder: str) -> DataFrame:
-    from .operators.aggregates import part_counts
-
-    text = spark.read.text(folder)
-    return part_counts(text.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("line")))
-
-
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     if argv and argv[0] not in COMMANDS and not argv[0].startswith("-"):
@@ -148,16 +149,18 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "search":
         print(shown(find(spark, a), a.json))
     elif a.command == "build":
-        r = build(spark, a)
-        print(json.dumps(r))
-        return int(any(x["status"] == "failed" for x in r["sources"]))
+        b, g = build(spark, a)
+        print(json.dumps({"quads": g.quads.count(), "sources": b.results}))
+        return int(b.failed())
+    elif a.command == "refresh":
+        return refresh(spark, a)
     elif a.command == "serve":
         own = server.loaded(spark, a.graph, a.vectors, a.format)
         server.http_server(own, a.port).serve_forever() if a.port else server.serve_lines(own)
     elif a.command == "materialise":
         print(ntriples.materialise(spark, a.folder, a.graph))
     elif a.command == "guard":
-        v = guard.verdict(guard.evaluate(counts(spark, a.previous), counts(spark, a.new), a.issue_count, a.threshold), a.issue_count, a.threshold)
+        v = guard.verdict(guard.evaluate(counts_at(spark, a.previous), counts_at(spark, a.new), a.issue_count, a.threshold), a.issue_count, a.threshold)
         print(guard.render(v, a.json))
         return guard.exit_code(v)
     else:

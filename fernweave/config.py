@@ -58,8 +58,9 @@ def configured(manifest: dict | None = None, env: dict | None = None) -> GraphCo
     """The settings of a manifest; the variable KG_NAMESPACE beats its namespace, which beats the default."""
     m, env = manifest or {}, os.environ if env is None else env
     teams = tuple(t["team"] for t in m.get("trackers") or [] if t.get("team"))
-    headings = tuple(h for t in m.get("trackers") or [] for h in t.get("comment_headings") or [])
-    bots = tuple(b.lower() for t in m.get("trackers") or [] for b in t.get("bot_users") or [])
+    both = [m, *(m.get("trackers") or [])]  # for all trackers, or for one
+    headings = tuple(h for t in both for h in t.get("comment_headings") or [])
+    bots = tuple(b.lower() for t in both for b in t.get("bot_users") or [])
     ns = (env.get("KG_NAMESPACE") or "").strip() or str(m.get("namespace") or DEFAULT_NAMESPACE)
     return GraphConfig(namespace=ns, teams=teams, comment_headings=headings, bot_users=bots, doc_exclude=tuple(m.get("doc_exclude") or ()))
 

@@ -90,5 +90,15 @@ def same_stamp(spark: SparkSession, path: str, stamp: str) -> bool:
     return got is not None and got[2]["stamp"] == stamp
 
 
+def copy_index(spark: SparkSession, src: str, dst: str, stamp: str) -> bool:
+    """Copies vectors and cards if they belong to the graph of this age; whether they did."""
+    if not same_stamp(spark, src, stamp):
+        return False
+    for name in ("vectors", "cards"):
+        spark.read.parquet(f"{src}/{name}").write.mode("overwrite").option("compression", "zstd").parquet(f"{dst}/{name}")
+    spark.read.text(f"{src}/meta").coalesce(1).write.mode("overwrite").text(f"{dst}/meta")
+    return True
+
+
 def distinct_dims(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))

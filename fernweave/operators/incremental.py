@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..model import SECTION
+from ..plans import graph as G
+from ..plans.graph import Graph
+
 
 def split_pages(new: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(unchanged, changed) of new (url, content_hash, ...): unchanged where prior (url, content_hash) has the same hash.
@@ -16,6 +20,22 @@ def split_pages(new: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame]
     return new.join(same, ["url", "content_hash"], "left_semi"), new.join(same, ["url", "content_hash"], "left_anti")
 
 
+def prior_pages(graph: Graph) -> DataFrame:
+    """model.PAGE rows of the pages that a graph holds: their sections by anchor, the preamble first."""
+    o, at = graph.onto, lambda p, name: graph.values(p, name)
+    page = graph.instances("DocPage").select("s")
+    for p, name in ((o("url"), "url"), (o("contentHash"), "content_hash"), (G.TITLE, "title")):
+        page = page.join(at(p, name), "s")
+    page = page.join(at(o("detail"), "detail"), "s", "left")
+    part = graph.instances("DocSection").select("s").join(graph.where(o("partOf")).select("s", F.col("o").alias("page")), "s")
+    for p, name in ((o("heading"), "heading"), (o("level"), "level"), (o("text"), "text"), (o("anchor"), "anchor")):
+        part = part.join(at(p, name), "s", "left")
+    own = part.groupBy(F.col("page").alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("anchor", "heading", F.col("level").cast("int").alias("level"), F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.struct(x["heading"].alias("heading"), x["level"].alias("level"), x["text"].alias("text"))).alias("rest"))  # a page's sections
+    none = F.array().cast(f"array<{SECTION}>")
+    pre = F.when(F.col("detail").isNotNull(), F.array(F.struct(F.lit("").alias("heading"), F.lit(0).alias("level"), F.col("detail").alias("text")))).otherwise(none)
+    return page.join(own, "s", "left").select("url", "title", "content_hash", F.concat(pre, F.coalesce("rest", none)).alias("sections"))
+
+
 def refreshed_pages(raw: DataFrame, prior: DataFrame, extract) -> DataFrame:
     """model.PAGE rows for raw (url, html): copied from prior where the hash is the same, else extracted."""
     hashed = raw.withColumn("content_hash", F.sha2("html", 256))

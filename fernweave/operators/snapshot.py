@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,11 +124,13 @@ def digest(graph: Graph) -> str:
     return "\n".join(out)
 
 
-def refresh_stats(graph: Graph, vectors: DataFrame | None, parts: DataFrame, seconds: float) -> dict:
-    """One line of figures about a refresh."""
-    largest = parts.orderBy(F.desc("n"), "file").first()
-    q = A.quad_count(graph).first()
-    return {"quads": q["quads"], "vectors": vectors.count() if vectors is not None else 0, "docPages": graph.instances("DocPage").count(), "durationSec": round(seconds, 1), "parts": parts.count(), "largestFile": largest["file"] if largest else None}
+def refresh_stats(parts: DataFrame, vectors: DataFrame | None, folders: Sequence[str], seconds: float) -> dict:
+    """One line of figures about a refresh: parts (part, n), vectors, and the local folders that it wrote."""
+    n = {r["part"]: r["n"] for r in parts.collect()}  # a row a part
+    files = [(os.path.getsize(p), os.path.relpath(p, os.path.dirname(os.path.abspath(f)))) for f in folders for d, _, names in os.walk(f) for p in (os.path.join(d, x) for x in names)]
+    size, largest = max(files, default=(0, ""))
+    own = sum(os.path.getsize(os.path.join(d, x)) for f in folders if os.path.isdir(os.path.join(f, "vectors")) for d, _, names in os.walk(os.path.join(f, "vectors")) for x in names)
+    return {"quads": sum(n.values()), "vectors": vectors.count() if vectors is not None else 0, "docPages": n.get("docpage.nt", 0), "durationSec": round(seconds, 1), "parts": n, "embeddingsBytes": own, "largestSnapshotFile": largest, "largestSnapshotBytes": size}
 
 
 __all__ = ["copy_parts", "digest", "export_parts", "part_lines", "piece", "piece_counts", "pieces", "refresh_stats", "swap", "write_parts"]

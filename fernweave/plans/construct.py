@@ -202,10 +202,14 @@ class Construct:
         return own.unionByName(self._filed(df.select(node.alias("node"), F.explode(X.tracker_keys(field("References"), self.cfg.teams)).alias("key")), g)).dropDuplicates()
 
     def plans(self, df: DataFrame, run_id: str) -> DataFrame:
-        """df (slug, path, stem, title, text): keys anywhere in the body are filed."""
+        """df (slug, path, stem, text, raw), raw as sources.docs.front_matter has it, null where it is malformed: keys anywhere in the body are filed."""
         g = self.iris.run_graph(F.lit(run_id))
+        meta = lambda k: F.get(F.get(F.filter("raw", lambda x: x["key"] == k), 0)["vals"], 0)
+        status = meta("status")
+        df = df.withColumn("title", meta("title")).withColumn("status", not_empty(F.coalesce(X.status(status), status))).withColumn("type", not_empty(meta("type"))).withColumn("date", X.first_date(meta("date")))
+        df = df.withColumn("text", F.when(F.col("raw").isNotNull(), F.regexp_replace("text", r"(?s)^---[^\n]*\n.*?\n---[^\n]*", "")).otherwise(F.col("text")))
         node = self.iris.decision(F.col("slug"), "plan", F.col("stem"))
-        own = quads(df, g, node, [self.type("Decision"), lit(G.TITLE, X.first_of(F.coalesce(not_empty(F.col("title")), F.col("stem")), self.cfg.title_chars), STRING), lit(self.o("foundDate"), X.first_date(F.col("stem")), DATE), iri(G.DERIVED, self.iris.doc(F.col("slug"), F.col("path"))), iri(G.GENERATED, self.iris.run(F.lit(run_id)))])
+        own = quads(df, g, node, [self.type("Decision"), lit(G.TITLE, X.first_of(F.coalesce(not_empty(F.col("title")), F.col("stem")), self.cfg.title_chars), STRING), lit(self.o("status"), F.col("status")), lit(self.o("category"), F.col("type")), lit(self.o("foundDate"), F.col("date"), DATE), iri(G.DERIVED, self.iris.doc(F.col("slug"), F.col("path"))), iri(G.GENERATED, self.iris.run(F.lit(run_id)))])
         return own.unionByName(self._filed(df.select(node.alias("node"), F.explode(X.tracker_keys(F.col("text"), self.cfg.teams)).alias("key")), g)).dropDuplicates()
 
     def _filed(self, rows: DataFrame, g: Column) -> DataFrame:

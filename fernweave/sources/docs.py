@@ -40,11 +40,11 @@ FIELDS = {
 LISTS = ("issues", "prs", "tags", "tracker", "related_solutions", "related_learnings")
 
 
-def markdown_files(spark: SparkSession, folder: str, slug: str, recursive: bool = True) -> DataFrame:
-    """(slug, path, stem, text) of the folder's .md files; path is relative to the folder."""
+def markdown_files(spark: SparkSession, folder: str, slug: str, recursive: bool = True, base: str | None = None) -> DataFrame:
+    """(slug, path, stem, text) of the folder's .md files; path is relative to base, the folder itself by default."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^file:/+", "/")
-    base = folder.removeprefix("file://").rstrip("/") + "/"
+    base = (base or folder).removeprefix("file://").rstrip("/") + "/"
     rel = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
     return files.select(F.lit(slug).alias("slug"), rel.alias("path"), F.regexp_replace(F.substring_index(rel, "/", -1), r"\.md$", "").alias("stem"), F.decode("content", "UTF-8").alias("text"))
 

@@ -20,6 +20,17 @@ def run_git(repo: str, *args: str) -> str:
     return subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, check=True).stdout
 
 
+def head_of(repo: str) -> tuple[str, str]:
+    """(branch, commit) that is checked out; without commits HEAD and nothing."""
+    out = []
+    for args, none in ((("rev-parse", "--abbrev-ref", "HEAD"), "HEAD"), (("rev-parse", "HEAD"), "")):
+        try:
+            out.append(run_git(repo, *args).strip())
+        except (subprocess.CalledProcessError, OSError):
+            out.append(none)
+    return out[0], out[1]
+
+
 def land_listing(spark: SparkSession, repo: str) -> DataFrame:
     """(value): a line for each tracked file."""
     return spark.createDataFrame([(x,) for x in run_git(repo, "ls-files").splitlines() if x.strip()], "value string")

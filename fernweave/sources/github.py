@@ -50,6 +50,11 @@ def reviews(spark: SparkSession, path: str, slug: str, number: int) -> DataFrame
     return _read(spark, path, REVIEW).withColumn("slug", F.lit(slug)).withColumn("number", F.lit(number).cast("long"))
 
 
+def reviews_of_all(spark: SparkSession, path: str, slug: str) -> DataFrame:
+    """Landed reviews of many pulls: JSON lines of model.REVIEW with number and ordinal."""
+    return spark.read.schema(f"number long, ordinal long, {REVIEW}").json(path).withColumn("slug", F.lit(slug))
+
+
 def thread_states(threads: DataFrame) -> DataFrame:
     """(id, thread_state) from threads (comment_id, resolved, outdated): resolved beats outdated beats open."""
     state = F.when(F.col("resolved"), "resolved").when(F.col("outdated"), "outdated").otherwise("open")

@@ -29,5 +29,5 @@ def test_build_and_search(spark, tmp_path, capsys):
 
 
 def test_manifest_check(tmp_path, capsys):
-    (tmp_path / "m.yml").write_text("repos:\n - slug: bad\n")
+    (tmp_path / "m.yml").write_text("code_repo: bad\n")
     assert cli.main(["check", f"{tmp_path}/m.yml"]) == 1 and "owner/name" in capsys.readouterr().out

@@ -199,11 +199,20 @@ def test_crawl(spark):
     assert site.fetch("http://x", cfg, broken, lambda s: None) is None and len(tries) == 3
 
 
-def test_manifest():
-    good = {"repos": [{"slug": "o/n"}], "trackers": [{"team": "AB"}, {"team": "CD", "tier": "secondary"}]}
-    assert manifest.problems(good) == [] and [t["team"] for t in manifest.trackers(good)] == ["AB"] and [t["team"] for t in manifest.trackers(good, "secondary")] == ["CD"]
-    bad = manifest.problems({"repos": [{"slug": "x"}, {"slug": "o/n"}, {"slug": "o/n"}], "trackers": [{"tier": "odd"}], "docs_sites": [{"root_url": "x", "max_pages": -1}], "mcp_sources": "no"})
-    assert len(bad) == 7
+def test_manifest(tmp_path):
+    good = {"code_repo": {"slug": "o/n"}, "secondary_repos": [{"slug": "o/m"}, {"slug": "o/m"}, {"slug": "o/n"}], "trackers": [{"team": "AB", "kind": "linear"}, {"team": "CD", "kind": "jira", "tier": "secondary"}]}
+    assert manifest.problems(good) == [] and manifest.problems({}) == [] and manifest.problems({"code_repo": "o/n", "trackers": None}) == []
+    assert [[t["team"] for t in manifest.trackers(good, tier)] for tier in (None, "primary", "secondary")] == [["AB", "CD"], ["AB"], ["CD"]]
+    assert manifest.secondary(good, "o/n") == ([{"slug": "o/m"}], ["o/m", "o/n"])
+    for bad, says in (
+        ([], "mapping"), ({"code_repo": "n"}, "owner/name"), ({"code_repo": "/n"}, "owner/name"), ({"code_repo": 3}, "code_repo"), ({"code_repo": {}}, "slug"), ({"code_repo": {"slug": "a/b/c"}}, "owner/name"),
+        ({"trackers": {}}, "list"), ({"trackers": ["x"]}, "trackers[0]"), ({"trackers": [{"kind": "linear"}]}, "team"), ({"trackers": [{"team": "A", "kind": "odd"}]}, "kind"), ({"trackers": [{"team": "A", "kind": "jira", "tier": "x"}]}, "tier"),
+        ({"trackers": [{"team": "A", "kind": "jira"}] * 3}, "twice"), ({"secondary_repos": "x"}, "list"), ({"secondary_repos": [{"path": "p"}]}, "slug"), ({"secondary_repos": [{"slug": "x"}]}, "owner/name"), ({"docs_sites": [{"root_url": "x", "max_pages": 1}]}, "root_url"), ({"mcp_sources": [{}]}, "name"),
+    ):
+        found = manifest.problems(bad)
+        assert len(found) == 1 and says in found[0], (bad, found)
+    (tmp_path / "n").mkdir()
+    assert manifest.repo_path({"slug": "o/n"}, str(tmp_path)) == str(tmp_path / "n") and manifest.repo_path({"slug": "o/x"}, str(tmp_path)) is None
 
 
 def test_landing_stream(spark, tmp_path):
