@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.iri import local_name
@@ -98,5 +98,15 @@ def ingest_stats(quads: DataFrame, onto: str) -> DataFrame:
     return t.groupBy("g", local_name(F.col("o")).alias("type")).agg(F.count_distinct("s").alias("n"))
 
 
+def at_least_as_high(rows: DataFrame, group: str = "event_type", value: str = "v") -> DataFrame:
+    """rows with n, the rows of their group whose value is as high or higher.
+
+    Rows are counted by value first, and only these counts are summed up in order; so no task orders a group's rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    over = Window.partitionBy(group).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(counts.withColumn("n", F.sum("_c").over(over)).drop("_c"), [group, value])
+
+
 def topic_count(quads: DataFrame, onto: str) -> DataFrame:
     return quads.where(F.col("p") == onto + "tagged").agg(F.count_distinct("o").alias("topics"))

@@ -44,11 +44,18 @@ def refreshed_pages(raw: DataFrame, prior: DataFrame, extract) -> DataFrame:
 
 
 def first_by(df: DataFrame, key: str, *order: str) -> tuple[DataFrame, DataFrame]:
-    """(kept, skipped): the first row of each key, and the others with a reason."""
-    n = df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    return n.where("_n = 1").drop("_n"), n.where("_n > 1").drop("_n").withColumn("reason", F.lit("duplicate"))
+    """(kept, skipped): the first row of each key, and the others with a reason. order tells a key's rows apart.
+
+    The first row is a minimum, summed map-side, so that no task orders a key's rows.
+    """
+    own = F.struct(*order)
+    n = df.join(df.groupBy(key).agg(F.min(own).alias("_first")), key)
+    return n.where(own == F.col("_first")).drop("_first"), n.where(own != F.col("_first")).drop("_first").withColumn("reason", F.lit("duplicate"))
 
 
 def capped(df: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
-    """The first `most` rows of each group in source order: a limit of the source's contract, an option of the caller."""
+    """The first `most` rows of each group in source order: a limit of the source's contract, an option of the caller.
+
+    Spark limits each task's groups before the shuffle (WindowGroupLimit), so a group's task gets `most` rows a task.
+    """
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= most).drop("_n")

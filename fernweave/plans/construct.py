@@ -237,7 +237,12 @@ class Construct:
 
 def anchored(pages: DataFrame) -> DataFrame:
     """(url, pos, heading, level, text, anchor): headed sections; later equal anchors of a page get -2, -3, ..."""
-    s = pages.select("url", F.posexplode("sections").alias("pos", "x")).select("url", "pos", "x.heading", "x.level", "x.text").where("level > 0 and heading != ''")
+    return anchored_rows(pages.select("url", F.posexplode("sections").alias("pos", "x")).select("url", "pos", "x.heading", "x.level", "x.text"))
+
+
+def anchored_rows(rows: DataFrame) -> DataFrame:
+    """The same of sections that are rows already (url, pos, heading, level, text)."""
+    s = rows.where("level > 0 and heading != ''")
     s = s.withColumn("_a", X.heading_anchor(F.col("heading"))).where("_a != ''")
     n = F.row_number().over(W.partitionBy("url", "_a").orderBy("pos"))
     return s.withColumn("_n", n).withColumn("anchor", F.when(F.col("_n") == 1, F.col("_a")).otherwise(F.concat("_a", F.lit("-"), F.col("_n").cast("string")))).drop("_a", "_n")

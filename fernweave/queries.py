@@ -13,12 +13,13 @@ from .functions import text as X
 from .functions.iri import Iris, local_name, page_hash, part_of, run_id, seg
 from .functions.markup import html_pages, markdown_pages
 from .operators import aggregates as A
+from .operators.aggregates import at_least_as_high as aggregates_rank
 from .operators import explore as E
 from .operators import guard, incremental, search, snapshot, validate
 from .operators.cards import build_cards
 from .operators.embed import HashingEmbedder, embed_cards
 from .plans import graph as G
-from .plans.construct import Construct, anchored
+from .plans.construct import Construct, anchored_rows
 from .plans.tables import O, R, quads_sql, table_graph
 from .sources import git, site, tracker
 
@@ -172,16 +173,17 @@ def _(spark, sf_dir):
 
 @query(
     "r11_benchmark_terms",
-    f"""b AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+', 0)) AS term FROM benchmark),
-m AS (SELECT b.term, i.s FROM b JOIN titles i ON contains(lower(i.title), b.term) JOIN types t ON t.s = i.s AND t.type IN ('{O}Learning', '{O}Decision') WHERE b.term <> '')
-SELECT term, count(DISTINCT s) AS n FROM m GROUP BY term""",
+    f"""b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark),
+w AS (SELECT DISTINCT i.s, unnest(regexp_extract_all(lower(i.title), '[a-z]+')) AS term FROM titles i JOIN types t ON t.s = i.s AND t.type IN ('{O}Learning', '{O}Decision'))
+SELECT term, count(*) AS n FROM w JOIN b USING (term) GROUP BY term""",
     ("docs",),
 )
 def _(spark, sf_dir):
     g = table_graph(spark, sf_dir, "docs")
-    terms = read(spark, sf_dir, "benchmark").select(F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("term")).where("term != ''").distinct()
-    titles = g.instances("Learning", "Decision").join(g.values(G.TITLE, "title"), "s").select("s", F.lower("title").alias("title"))
-    return titles.join(F.broadcast(terms), F.contains("title", F.col("term"))).groupBy("term").agg(F.count_distinct("s").alias("n"))
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))).alias("term")
+    titles = g.instances("Learning", "Decision").select("s").distinct().join(g.values(G.TITLE, "title"), "s").select("s", words("title")).distinct()
+    n = titles.groupBy("term").agg(F.count("*").alias("n"))  # summed before the join: a frequent word is one row
+    return n.join(read(spark, sf_dir, "benchmark").select(words("text")).distinct(), "term", "left_semi")
 
 
 # --- exploration ----------------------------------------------------------
@@ -517,9 +519,7 @@ def _(spark, sf_dir):
 
 @query("q17_rank", "x AS (SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON b.event_type = a.event_type AND floor(b.value) >= floor(a.value) GROUP BY a.event_id) SELECT event_id, n FROM x".join(["WITH ", ""]))
 def _(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    return read(spark, sf_dir, "events").select("event_id", F.count("*").over(W.partitionBy("event_type").orderBy(F.desc(F.floor("value")))).alias("n"))
+    return aggregates_rank(read(spark, sf_dir, "events").select("event_id", "event_type", F.floor("value").alias("v"))).select("event_id", "n")
 
 
 @query("q18_path_plus", f"e AS (SELECT DISTINCT s, o FROM quads WHERE p = '{O}partOf'), c(s, o) AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON e.s = c.o) SELECT s AS src, o AS dst FROM c", ("places",))
@@ -822,6 +822,91 @@ def _(spark, sf_dir):
     return Construct(CFG).issues(df).select("s", "p", "o").distinct()
 
 
+def facts_sql(base: str, *facts: tuple[str, str, str]) -> str:
+    """Distinct (s, p, o) of facts over the rows x of base; a null subject or object is no fact."""
+    return f"WITH {base} SELECT DISTINCT s, p, o FROM (" + " UNION ALL ".join(f"SELECT {s} AS s, '{p}' AS p, CAST({o} AS VARCHAR) AS o FROM x" for s, p, o in facts) + ") WHERE s IS NOT NULL AND o IS NOT NULL"
+
+
+def facts_of(df: DataFrame) -> DataFrame:
+    return df.select("s", "p", "o").distinct()
+
+
+def node(kind: str, *parts: str) -> str:
+    return f"'{R}{kind}/' || " + " || '/' || ".join(f"url_encode({p})" for p in parts)
+
+
+TYPE, T = G.RDF_TYPE, lambda name: f"'{O}{name}'"
+REPO_BASE = "x AS (SELECT DISTINCT 'org/' || source AS slug, source <> 'src0' AS main FROM documents)"
+
+
+@query("c1_repo_quads", facts_sql(REPO_BASE, *[(node("repo", "slug"), p, o) for p, o in ((TYPE, T("Repo")), (O + "sourceSystem", "'github'"), (O + "sourceId", "slug"), (G.TITLE, "slug"), (O + "docsUrl", "CASE WHEN main THEN 'https://' || slug END"), (O + "historyBranch", "'main'"), (O + "isDefaultBranch", "main"), (O + "snapshotRef", "CASE WHEN main THEN 'abc' END"))]))
+def _(spark, sf_dir):
+    x = read(spark, sf_dir, "documents").select(F.concat(F.lit("org/"), "source").alias("slug"), (F.col("source") != "src0").alias("main")).distinct()
+    return facts_of(Construct(CFG).repos(x.select("slug", F.lit("main").alias("history_branch"), F.col("main").alias("is_default_branch"), F.when(F.col("main"), "abc").otherwise("").alias("snapshot_ref"), F.when(F.col("main"), F.concat(F.lit("https://"), "slug")).alias("docs_url"))))
+
+
+FILE_NODE = f"CASE WHEN doc THEN {node('doc', 'slug', 'path')} ELSE {node('file', 'slug', 'path')} END"
+
+
+@query("c2_file_quads", facts_sql("x AS (SELECT 'org/' || source AS slug, 'a b/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.md' END AS path, doc_id % 3 <> 0 AS doc, 'Title ' || doc_id AS title, text FROM documents)", (FILE_NODE, TYPE, f"CASE WHEN doc THEN {T('Doc')} ELSE {T('File')} END"), (FILE_NODE, O + "path", "path"), (FILE_NODE, O + "partOf", node("repo", "slug")), (FILE_NODE, G.TITLE, "CASE WHEN doc THEN title END"), (FILE_NODE, O + "detail", "CASE WHEN doc THEN nullif(text, '') END")))
+def _(spark, sf_dir):
+    doc = F.col("doc_id") % 3 != 0
+    x = read(spark, sf_dir, "documents").select(F.concat(F.lit("org/"), "source").alias("slug"), F.concat(F.lit("a b/"), "doc_id", F.when(doc, ".md").otherwise(".py")).alias("path"), doc.alias("is_doc"), F.concat(F.lit("Title "), "doc_id").alias("title"), F.col("text").alias("detail"))
+    return facts_of(Construct(CFG).files(x))
+
+
+COMMIT_BASE = "x AS (SELECT 'o/r' || (user_id % 3) AS slug, 's' || event_id AS sha, CASE WHEN user_id % 4 = 0 THEN '' ELSE 'user ' || user_id END AS author, 'u' || user_id || '@x' AS email, CASE WHEN user_id % 4 = 0 THEN 'u' || user_id || '@x' ELSE 'user ' || user_id END AS login, replace(substr(CAST(ts AS VARCHAR), 1, 19), ' ', 'T') || '+02:00' AS date, event_type || ' AB-' || (event_id % 7) AS subject, 'AB-' || (event_id % 7) AS key FROM events)"
+COMMIT = node("commit", "slug", "sha")
+
+
+@query("c3_commit_quads", facts_sql(COMMIT_BASE, (COMMIT, TYPE, T("Commit")), (COMMIT, O + "sourceId", "sha"), (COMMIT, G.TITLE, "subject"), (COMMIT, G.CREATED, "date"), (COMMIT, O + "partOf", node("repo", "slug")), (COMMIT, G.ATTRIBUTED, node("person", "login")), (node("person", "login"), TYPE, T("Person")), (node("person", "login"), O + "login", "login"), (node("person", "login"), G.RDFS_LABEL, "login"), (COMMIT, O + "references", node("issue", "key")), (node("issue", "key"), O + "addressedBy", COMMIT), (node("issue", "key"), TYPE, T("Issue")), (node("issue", "key"), O + "trackerKey", "key")))
+def _(spark, sf_dir):
+    own = F.col("user_id") % 4 == 0
+    date = F.concat(F.replace(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("+02:00"))
+    x = read(spark, sf_dir, "events").select(F.concat(F.lit("o/r"), F.col("user_id") % 3).alias("slug"), F.concat(F.lit("s"), "event_id").alias("sha"), F.when(own, "").otherwise(F.concat(F.lit("user "), "user_id")).alias("author"), F.concat(F.lit("u"), "user_id", F.lit("@x")).alias("email"), date.alias("date"), F.concat("event_type", F.lit(" AB-"), F.col("event_id") % 7).alias("subject"))
+    return facts_of(Construct(CFG).commits(x))
+
+
+PULL = node("pr", "slug", "n")
+PULL_BASE = "x AS (SELECT 'o/r' AS slug, CAST(event_id AS VARCHAR) AS n, event_type AS title, CASE WHEN event_type = 'purchase' THEN '2024-01-02T00:00:00Z' END AS merged, CASE WHEN user_id % 5 = 0 THEN 'unknown' ELSE 'u' || user_id END AS login FROM events)"
+
+
+@query("c4_pull_quads", facts_sql(PULL_BASE, (PULL, TYPE, T("PullRequest")), (PULL, O + "number", "n"), (PULL, G.TITLE, "title"), (PULL, O + "state", "CASE WHEN merged IS NULL THEN 'open' ELSE 'merged' END"), (PULL, O + "mergedAt", "merged"), (PULL, O + "baseRefName", "'main'"), (PULL, O + "partOf", node("repo", "slug")), (PULL, G.ATTRIBUTED, node("person", "login")), (node("person", "login"), TYPE, T("Person")), (node("person", "login"), O + "login", "login")))
+def _(spark, sf_dir):
+    x = read(spark, sf_dir, "events").select(F.lit("o/r").alias("slug"), F.col("event_id").alias("number"), F.col("event_type").alias("title"), F.lit(None).cast("string").alias("body"), F.lit("open").alias("state"), F.when(F.col("event_type") == "purchase", "2024-01-02T00:00:00Z").alias("merged_at"), F.lit("none").alias("merge_commit_sha"), F.struct(F.lit("main").alias("ref")).alias("base"), F.struct(F.when(F.col("user_id") % 5 == 0, "").otherwise(F.concat(F.lit("u"), "user_id")).alias("login")).alias("user"))
+    return facts_of(Construct(CFG).pulls(x, x.selectExpr("slug", "'x' sha")))
+
+
+ADR = node("decision", "slug", "'adr'", "n").replace("url_encode('adr')", "'adr'")
+
+
+@query("c11_decision_quads", facts_sql("x AS (SELECT 'o/' || source AS slug, CAST(doc_id AS VARCHAR) AS n, 'docs/adr/' || doc_id || '.md' AS path, 'AB-' || (doc_id % 9) AS key, 'use ' || lang AS title FROM documents)", (ADR, TYPE, T("Decision")), (ADR, G.TITLE, "'ADR ' || n || ': ' || title"), (ADR, O + "status", "'accepted'"), (ADR, G.DERIVED, node("doc", "slug", "path")), (ADR, G.GENERATED, f"'{R}run/r1'"), (ADR, O + "filedAs", node("issue", "key")), (node("issue", "key"), TYPE, T("Issue")), (node("issue", "key"), O + "trackerKey", "key")))
+def _(spark, sf_dir):
+    text = F.concat(F.lit("intro\n# ADR 00"), "doc_id", F.lit(": use "), "lang", F.lit("\n\n**Status:** Accepted since then\n**References:** ab-"), F.col("doc_id") % 9, F.lit("\n"))
+    x = read(spark, sf_dir, "documents").select(F.concat(F.lit("o/"), "source").alias("slug"), F.concat(F.lit("docs/adr/"), "doc_id", F.lit(".md")).alias("path"), F.col("doc_id").cast("string").alias("stem"), text.alias("text"))
+    return facts_of(Construct(CFG).adrs(x, "r1"))
+
+
+SITE, PAGE_NODE = f"{node('docsite', chr(39) + 'https://s' + chr(39))}", node("docpage", "url")
+
+
+@query("c13_page_quads", facts_sql("x AS (SELECT url, html, 'Title ' || page_id AS title FROM pages)", (SITE, TYPE, T("DocSite")), (SITE, O + "rootUrl", "'https://s'"), (SITE, G.TITLE, "'Site'"), (SITE, G.MODIFIED, "'2024-01-01T00:00:00Z'"), (SITE, O + "documentsBranch", "'main'"), (PAGE_NODE, TYPE, T("DocPage")), (PAGE_NODE, O + "url", "url"), (PAGE_NODE, G.TITLE, "title"), (PAGE_NODE, O + "contentHash", "sha256(html)"), (PAGE_NODE, O + "detail", "'pre'"), (PAGE_NODE, O + "partOf", SITE), (PAGE_NODE, G.MODIFIED, "'2024-01-01T00:00:00Z'"), (PAGE_NODE + " || '#same-part-2'", TYPE, T("DocSection")), (PAGE_NODE + " || '#same-part-2'", O + "anchor", "'same-part-2'"), (PAGE_NODE + " || '#same-part-2'", O + "text", "'two'")))
+def _(spark, sf_dir):
+    section = lambda h, n, t: F.struct(F.lit(h).alias("heading"), F.lit(n).alias("level"), F.lit(t).alias("text"))
+    x = read(spark, sf_dir, "pages").select("url", F.concat(F.lit("Title "), "page_id").alias("title"), F.sha2("html", 256).alias("content_hash"), F.array(section("", 0, "pre"), section("Same part", 2, "one"), section("Same, part!", 3, "two")).alias("sections"))
+    q = Construct(CFG).pages(x, "https://s", "Site", "2024-01-01T00:00:00Z", "main")
+    second = F.col("s").endswith("#same-part-2")
+    return facts_of(q.where((~F.contains("s", F.lit("#"))) | (second & (F.col("p").isin(O + "anchor", O + "text", TYPE)))))
+
+
+@query("c17_stamp", f"SELECT '{CFG.spine}' AS s, '2024-01-01T00:00:00Z' AS o, count(*) + 1 AS n FROM (SELECT DISTINCT source FROM documents)")
+def _(spark, sf_dir):
+    x = read(spark, sf_dir, "documents").select("source").distinct()
+    stamp = Construct(CFG).stamp(spark, "2023-01-01T00:00:00Z")
+    g = G.Graph(stamp.unionByName(x.select(F.lit(CFG.spine).alias("g"), F.concat(F.lit("x:"), "source").alias("s"), F.lit("p").alias("p"), F.lit("o").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))), CFG).replaced(CFG.spine, G.MODIFIED, "2024-01-01T00:00:00Z")
+    return g.quads.agg(F.max(F.when(F.col("p") == G.MODIFIED, F.col("s"))).alias("s"), F.max(F.when(F.col("p") == G.MODIFIED, F.col("o"))).alias("o"), F.count("*").alias("n"))
+
+
 @query("c15_incremental", "SELECT page_id, page_id % 3 <> 0 AS reused FROM pages")
 def _(spark, sf_dir):
     p = read(spark, sf_dir, "pages").withColumn("url", F.concat("url", F.lit("#"), "page_id")).withColumn("content_hash", F.sha2("html", 256))
@@ -832,9 +917,9 @@ def _(spark, sf_dir):
 
 @query("c16_anchor_dedup", "WITH h AS (SELECT source AS url, doc_id AS pos, 'part-' || (doc_id % 13) AS a FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY url, a ORDER BY pos) AS k FROM h) SELECT url, pos, a || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS anchor FROM n")
 def _(spark, sf_dir):
-    h = read(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.concat(F.lit("Part "), F.col("doc_id") % 13).alias("heading")))).alias("x"))
-    pages = h.select(F.col("source").alias("url"), F.transform("x", lambda s: F.struct(s["heading"].alias("heading"), F.lit(2).alias("level"), s["id"].cast("string").alias("text"))).alias("sections"))
-    return anchored(pages).select("url", F.col("text").cast("long").alias("pos"), "anchor")
+    heading = F.concat(F.lit("Part "), F.col("doc_id") % 13)
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("url"), F.col("doc_id").alias("pos"), heading.alias("heading"), F.lit(2).alias("level"), F.lit("").alias("text"))
+    return anchored_rows(rows).select("url", "pos", "anchor")
 
 
 @query("c18_slug_dedup", "WITH n AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT doc_id, k > 1 AS skipped FROM n")
@@ -954,7 +1039,8 @@ def _(spark, sf_dir):
     return p.select("url", "title", "content_hash", F.size("sections").alias("n_sections"), F.sha2(F.to_json("sections"), 256).alias("sections_sha256"))
 
 
-@query("f22_markdown")
+@query("f22_markdown", """WITH x AS (SELECT 'doc://' || source || '/' || doc_id AS url, 'T ' || doc_id AS title, lang, regexp_replace(text, chr(13) || chr(10) || '|[' || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233) || ']', chr(10), 'g') AS text FROM documents)
+SELECT url, title, 2 AS n_sections, sha256('[{"heading":"","level":0,"text":"intro"},{"heading":"' || lang || '","level":2,"text":' || CAST(to_json(regexp_replace(regexp_replace(text, '^[\\s\\x0B]+', ''), '[\\s\\x0B]+$', '')) AS VARCHAR) || '}]') AS sections_sha256 FROM x""")
 def _(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc://"), "source", F.lit("/"), "doc_id").alias("uri"), F.concat(F.lit("# T "), "doc_id", F.lit("\nintro\n## "), "lang", F.lit("\n"), "text").alias("text"))
     p = markdown_pages(d)
@@ -966,5 +1052,5 @@ def _(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
     host = F.regexp_extract("url", "^https?://[^/?#]+", 0)
     root = p.groupBy(host.alias("h")).count().orderBy(F.desc("count"), "h").first()
-    cfg = site.CrawlConfig(root["h"] if root else "https://example.org", max_pages=10**6)
+    cfg = site.CrawlConfig(root["h"] if root else "https://example.org", max_depth=None, max_pages=None)
     return site.crawl(p, cfg, seeds=p.select("url"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 import urllib.request
 from collections.abc import Sequence
 from dataclasses import dataclass
 from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import page_links
 from ..functions.text import any_of, glob_regex, same_site, url_no_fragment
+from ..storage import kept
 
 
 @dataclass(frozen=True)
@@ -20,8 +23,8 @@ class CrawlConfig:
     root: str
     include: Sequence[str] = ()
     exclude: Sequence[str] = ()
-    max_depth: int = 4
-    max_pages: int = 300
+    max_depth: int | None = 4  # None: without a bound, as is None below
+    max_pages: int | None = 300
     delay: float = 0.5
     retries: int = 3
     timeout: float = 30.0
@@ -58,18 +61,25 @@ def crawl(pages: DataFrame, cfg: CrawlConfig, seeds: DataFrame | None = None, ru
     spark = pages.sparkSession
     known = pages.select(url_no_fragment(F.col("url")).alias("url"), "html").where(same_site(F.col("url"), cfg.root) & allowed_path(F.col("url"), cfg))
     if rules is not None:
-        may = F.udf(lambda u: rules.can_fetch(agent, u), "boolean").asNondeterministic()
+
+        @F.pandas_udf("boolean")
+        def may(urls: pd.Series) -> pd.Series:
+            return urls.map({u: rules.can_fetch(agent, u) for u in urls.unique()})
+
         known = known.where(may("url"))
     known = known.dropDuplicates(["url"])
-    links = page_links(known).select("url", url_no_fragment(F.col("link")).alias("link")).distinct()
+    links = kept(page_links(known).select("url", url_no_fragment(F.col("link")).alias("link")).distinct(), "links")  # pages are parsed once
+    known = kept(known.select("url"), "urls")
     start = spark.createDataFrame([(cfg.root.rstrip("/"),), (cfg.root,)], "url string")
     frontier = (start.unionByName(seeds.select("url")) if seeds is not None else start).distinct().join(known.select("url"), "url", "left_semi").select("url", F.lit(0).alias("depth"))
     seen = frontier
-    for depth in range(1, cfg.max_depth + 1):
+    for depth in itertools.count(1) if cfg.max_depth is None else range(1, cfg.max_depth + 1):
         step = links.join(frontier.select("url"), "url").select(F.col("link").alias("url")).distinct().join(known.select("url"), "url", "left_semi").join(seen.select("url"), "url", "left_anti")
-        frontier = step.select("url", F.lit(depth).alias("depth"))
+        frontier = kept(step.select("url", F.lit(depth).alias("depth")), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-    return seen.orderBy("depth", "url").limit(cfg.max_pages)
+    return seen if cfg.max_pages is None else seen.orderBy("depth", "url").limit(cfg.max_pages)
 
 
 def fetch(url: str, cfg: CrawlConfig, opener=urllib.request.urlopen, sleep=time.sleep) -> bytes | None:

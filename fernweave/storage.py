@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +32,10 @@ def state_of(spark: SparkSession, path: str) -> tuple[int, int, int] | None:
         return None
     sums = fs.getContentSummary(p)
     return fs.getFileStatus(p).getModificationTime(), sums.getLength(), sums.getFileCount()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, cut off from its lineage."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
