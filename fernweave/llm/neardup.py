@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import find_words, lowered, mixed, shingle_hashes, word_hashes
-from .common import drop_written, pieces, read, row_key, small_enough, text_bytes, trim, written
+from .common import drop_since, drop_written, marked, pieces, read, row_key, small_enough, text_bytes, trim, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -319,7 +319,9 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     own = own.join(mixed_nodes, "node", "left_semi")
     second = own.selectExpr("node", "c as u", "comp as cu").join(own.selectExpr("node", "c as v", "comp as cv"), "node").where("u < v and cu != cv").select("u", "v").distinct()
     second = written(likely(second.join(stars, ["u", "v"], "left_anti"), classes), "pairs")
+    mark = marked()
     blocks = written(wide_groups(wide, comp, classes), "blocks")
+    drop_since(mark, blocks)
     more = second.select(F.col("u").alias("c")).unionByName(second.select(F.col("v").alias("c"))).unionByName(blocks.select("c")).distinct().join(sets.select("c"), "c", "left_anti")
     sets2 = written(full_sets(docs, names.join(more, "c", "left_semi")), "sets")
     both = sets.unionByName(sets2)
@@ -339,7 +341,10 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, *carry), a row for each document."""
     rows, classes = classes_of(docs, carry)
-    comp = written(links_of(docs, classes), "comp").select(F.col("node").alias("c"), "component")
+    mark = marked()
+    comp = written(links_of(docs, classes), "comp")
+    drop_since(mark, comp)
+    comp = comp.select(F.col("node").alias("c"), "component")
     named = classes.select("c", "rep").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(lowest, "component").select("c", "component_id")

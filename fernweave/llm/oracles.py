@@ -66,7 +66,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
 """
 
-#: A run goes forward from a sentence, or backward, until it has two sentences and 25 words.
+#: A run goes forward from a sentence, or backward, until it has two sentences and 16 words.
 ORACLES["op1_substring_dedup"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, text,
@@ -74,8 +74,8 @@ WITH d AS (
 q AS (SELECT rid, doc_id, i, p[i] AS raw, trim(regexp_replace(p[i], '[\x20\x09-\x0D]+', ' ', 'g')) AS q FROM (SELECT rid, doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
 s AS (SELECT *, sum(len(string_split(q, ' '))) OVER (PARTITION BY rid ORDER BY i) AS upto, len(string_split(q, ' ')) AS w FROM q),
 runs AS (
-  SELECT x.rid, x.doc_id, x.i, min(y.i) AS j FROM s x JOIN s y ON x.rid = y.rid AND y.i > x.i AND y.upto - x.upto + x.w >= 25 GROUP BY ALL
-  UNION SELECT y.rid, y.doc_id, max(x.i) AS i, y.i AS j FROM s x JOIN s y ON x.rid = y.rid AND y.i > x.i AND y.upto - x.upto + x.w >= 25 GROUP BY y.rid, y.doc_id, y.i
+  SELECT x.rid, x.doc_id, x.i, min(y.i) AS j FROM s x JOIN s y ON x.rid = y.rid AND y.i > x.i AND y.upto - x.upto + x.w >= 16 GROUP BY ALL
+  UNION SELECT y.rid, y.doc_id, max(x.i) AS i, y.i AS j FROM s x JOIN s y ON x.rid = y.rid AND y.i > x.i AND y.upto - x.upto + x.w >= 16 GROUP BY y.rid, y.doc_id, y.i
   UNION SELECT rid, doc_id, i, i AS j FROM s WHERE w >= 30),
 r AS (SELECT r.rid, r.doc_id, r.i, r.j, string_agg(s.q, ' ' ORDER BY s.i) AS t FROM runs r JOIN s ON r.rid = s.rid AND s.i BETWEEN r.i AND r.j GROUP BY r.rid, r.doc_id, r.i, r.j),
 f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, rid, i, j) AS place FROM r),

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .bytetext import find_words, mixed, run_hashes, word_hashes
 from .common import pieces, read, row_key, text_bytes, written
 
-RUN, MIN_WORDS, LONG_WORDS = 2, 25, 30
+RUN, MIN_WORDS, LONG_WORDS = 2, 16, 30
 MARKS = np.zeros(256, bool)
 MARKS[list(b".!?")] = True
 

@@ -7,7 +7,7 @@ from fernweave.llm.substrings import dedup
 SENTENCE = re.compile(r"(?s)[\x20\x09-\x0D]*.*?(?:[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\Z)")
 
 
-def brute(rows, run=2, least=25, long_words=30):
+def brute(rows, run=2, least=16, long_words=30):
     """(doc_id, text, n_sentences, n_removed) by the rule, one document after the other: all (first, last) of which no shorter run with the same first, or the same last, has enough."""
     docs = sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
     spans, cut = {}, {d: [x for x in SENTENCE.findall(d[1] or "") if x] for d in docs}
@@ -80,7 +80,7 @@ def test_short_sentences_against_brute_force(spark, rows):
     ends = [".\n", ". ", "! ", "?! ", "\n", " \n\n", ".", "..", "?"]
     made = [(i, "".join(" ".join(rng.choice("aab") for _ in range(rng.randint(1, 4))) + rng.choice(ends) for _ in range(rng.randint(0, 60)))) for i in range(60)]
     df = spark.createDataFrame(made, "doc_id long, text string")
-    for run, least, long_words in ((2, 25, 30), (2, 5, 30), (3, 1, 4), (1, 6, 6)):
+    for run, least, long_words in ((2, 16, 30), (2, 5, 30), (3, 1, 4), (1, 6, 6)):
         assert rows(dedup(df, run, least, long_words), "doc_id", "text", "n_sentences", "n_removed") == brute(made, run, least, long_words)
 
 
