@@ -729,12 +729,7 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", X.first_date(x).alias("found"))
 
 
-@query("f19_anchor", "WITH r AS (SELECT doc_id, substr(regexp_extract(text, '^[^' || chr(10) || ']*', 0), 1, 60) AS x FROM documents WHERE lang = 'en') SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(x), '[^\\p{L}\\p{M}\\p{N}_\\s-]', '', 'g')), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor FROM r")
-def _(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.heading_anchor(F.substring(F.substring_index("text", "\n", 1), 1, 60)).alias("anchor"))
-
-
-@query("f19_anchor_whole", "WITH r AS (SELECT doc_id, regexp_extract(text, '^[^' || chr(10) || ']*', 0) AS x FROM documents) SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(x), '[^\\p{L}\\p{M}\\p{N}_\\s-]', '', 'g')), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor FROM r")
+@query("f19_anchor", "WITH r AS (SELECT doc_id, regexp_extract(text, '^[^' || chr(10) || ']*', 0) AS x FROM documents) SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(x), '[^\\p{L}\\p{M}\\p{N}_\\s-]', '', 'g')), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor FROM r")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.heading_anchor(F.substring_index("text", "\n", 1)).alias("anchor"))
 
@@ -782,7 +777,7 @@ def _(spark, sf_dir):
 
 # --- construction ---------------------------------------------------------
 COMMENT_SQL = f"""WITH {BODY_SQL}, f AS (SELECT conv_id, max(text) FILTER (turn = 0) AS t FROM conversations GROUP BY conv_id),
-k AS (SELECT b.conv_id, b.turn, 'CNV-' || b.conv_id AS key, substr(coalesce(f.t, ''), 1, 60) AS issue, {d_strip('body')} AS body, b.role || CASE WHEN b.role = 'system' THEN ' bot' ELSE '' END AS author, b.role = 'system' AS bot FROM b LEFT JOIN f USING (conv_id)),
+k AS (SELECT b.conv_id, b.turn, 'CNV-' || b.conv_id AS key, coalesce(f.t, '') AS issue, {d_strip('body')} AS body, b.role || CASE WHEN b.role = 'system' THEN ' bot' ELSE '' END AS author, b.role = 'system' AS bot FROM b LEFT JOIN f USING (conv_id)),
 c AS (SELECT *, {d_classify('body', 'bot')} AS kind, '{R}comment/CNV-' || conv_id || '/' || turn AS node FROM k),
 w AS (SELECT *, {d_title('key', 'issue', 'body', 'kind')} AS title FROM c WHERE kind IS NOT NULL)
 SELECT DISTINCT s, p, o FROM (
@@ -798,7 +793,7 @@ def _(spark, sf_dir):
     first = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("t"))
     rows = bodies(spark, sf_dir).join(first, "conv_id", "left")
     author = F.concat("role", F.when(F.col("role") == "system", " bot").otherwise(""))
-    df = rows.select(F.concat(F.lit("CNV-"), "conv_id").alias("identifier"), F.substring(F.coalesce("t", F.lit("")), 1, 60).alias("title"), F.array(F.lit("chat")).alias("tags"), F.col("turn").alias("ordinal"), "body", author.alias("author"))
+    df = rows.select(F.concat(F.lit("CNV-"), "conv_id").alias("identifier"), F.coalesce("t", F.lit("")).alias("title"), F.array(F.lit("chat")).alias("tags"), F.col("turn").alias("ordinal"), "body", author.alias("author"))
     return Construct(CFG).comments(df, "r1").select("s", "p", "o").distinct()
 
 
