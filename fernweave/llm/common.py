@@ -27,34 +27,33 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of the tables that this process has written and not deleted.
-_folders: list[str] = []
+#: Folders of the tables that this process has written and not deleted, by their names, each of which occurs once.
+_folders: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, cut off from its lineage: a Parquet table in the shared folder that survives lost executors."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    _folders.append(path)
+    _folders[os.path.basename(path)] = path
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _folders:
-        _folders.remove(path)
+    _folders.pop(os.path.basename(path), None)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the tables that `written` made for df, once nothing reads them any more."""
-    for f in {os.path.dirname(f) for f in df.inputFiles()}:
-        delete(df.sparkSession, next((x for x in _folders if same_place(x, f)), f))
+def folder_names(df: DataFrame) -> set[str]:
+    """Names of the folders that df is read from: Spark adds scheme, host and escapes to paths, but a folder's own name stays."""
+    return {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
 
 
-def same_place(a: str, b: str) -> bool:
-    """Whether two names of a folder differ by slashes before the path only."""
-    return a.replace("///", "/") == b.replace("///", "/")
+def drop_written(df: DataFrame) -> None:
+    """Deletes the tables that `written` made for df, once nothing reads them any more."""
+    for name in folder_names(df) & _folders.keys():
+        delete(df.sparkSession, _folders[name])
 
 
 def marked() -> int:
@@ -64,10 +63,10 @@ def marked() -> int:
 
 def drop_since(mark: int, kept: DataFrame) -> None:
     """Deletes the tables written since the mark, but for kept, once nothing reads them any more."""
-    own = [os.path.dirname(f) for f in kept.inputFiles()]
-    for path in _folders[mark:]:
-        if not any(same_place(path, f) for f in own):
-            delete(kept.sparkSession, path)
+    own = folder_names(kept)
+    for name in list(_folders)[mark:]:
+        if name not in own:
+            delete(kept.sparkSession, _folders[name])
 
 
 def trim() -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from fernweave.llm import quality_rules, queries
-from fernweave.llm.common import text_bytes
+from fernweave.llm.common import drop_since, drop_written, marked, text_bytes, written
 from fernweave.llm.decontaminate import decontaminate
 from fernweave.llm.pii import base_spans, find, redacted
 from fernweave.llm.pii_model import trained
@@ -132,3 +132,28 @@ def test_run_against_brute_force(spark, tmp_path, many_docs, many_rows):
     want = [(i, t, k + 1) for i, t, n in brute_mix(rows) for k in range(n)]
     have = sorted((r.doc_id, r.text, r.copy) for r in C.run(spark, sf).collect())
     assert have == sorted(want) and len(kept) > len(clean) > 20
+
+
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}", "{}//x", "{}/a b/", "file://{}/a b"])
+def test_tables_are_deleted_by_any_name_of_the_folder(spark, tmp_path, monkeypatch, form):
+    """A table that is kept stays and the others go, however the shared folder is written."""
+    monkeypatch.setattr("fernweave.storage.shared_dir", lambda _: form.format(tmp_path).rstrip("/"))
+    before, mark = written(spark.range(2), "before"), marked()
+    other, kept = written(spark.range(3), "other"), written(spark.range(4), "kept")
+    left = lambda: sorted(d.split("-")[0] for _, dirs, _ in os.walk(tmp_path) for d in dirs if "-" in d)
+    drop_since(mark, kept)
+    assert left() == ["before", "kept"] and (before.count(), kept.count()) == (2, 4)
+    assert mark + 1 == marked()
+    drop_written(before)
+    assert left() == ["kept"] and kept.count() == 4 and other.schema == kept.schema
+    drop_written(kept.where("id > 1"))
+    assert left() == [] and mark - 1 == marked()
+
+
+def test_run_in_a_folder_without_scheme(spark, tmp_path, monkeypatch, many_docs, many_rows):
+    """Every stage reads what the one before wrote, and only the last result stays."""
+    sf = folder(spark, tmp_path / "sf", many_docs, [(r[0], int(r[0] % 10 > 0), 0) for r in many_rows[:150]], [(1, many_rows[0][1])])
+    want = sorted(map(tuple, C.run(spark, sf).collect()))
+    monkeypatch.setattr("fernweave.storage.shared_dir", lambda _: str(tmp_path / "shared"))
+    assert sorted(map(tuple, C.run(spark, sf).collect())) == want and want
+    assert [d.rsplit("-", 1)[0] for d in os.listdir(tmp_path / "shared")] == ["stage-mixing-sources"]
