@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -53,6 +54,13 @@ def test_near_copies_edges(edge_docs, edge_rows, no_docs, rows):
     assert N.near_dedup(no_docs).count() == 0
 
 
+def test_near_copies_in_a_folder_without_scheme(tmp_path, monkeypatch, many_docs, many_rows, rows):
+    """Rounds of components and blocks read what was written before them, and only the tables behind the lazy result stay."""
+    monkeypatch.setattr("fernweave.storage.shared_dir", lambda _: str(tmp_path))
+    assert rows(N.near_dedup(many_docs)) == brute_components(many_rows)
+    assert sorted(d.rsplit("-", 1)[0] for d in os.listdir(tmp_path)) == ["classes", "comp", "sketch"]
+
+
 @pytest.mark.parametrize("words", range(7))
 def test_few_words_in_all(spark, rows, words):
     made = [(1, " ".join("abcdef"[:words]))]
