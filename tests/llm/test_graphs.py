@@ -12,6 +12,7 @@ from fernweave.llm import link_graph as L
 from fernweave.llm import neardup as N
 from fernweave.llm import warc as W
 from fernweave.llm.components import components
+from fernweave.llm.oracles import ORACLES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -61,6 +62,17 @@ def test_near_copies_in_a_folder_without_scheme(tmp_path, monkeypatch, many_docs
     assert sorted(d.rsplit("-", 1)[0] for d in os.listdir(tmp_path)) == ["classes", "comp", "sketch"]
 
 
+def test_near_copies_against_sql(spark, tmp_path, monkeypatch, many_docs, rows):
+    """The registered query beside its SQL, in a shared folder without scheme."""
+    duckdb = pytest.importorskip("duckdb")
+    many_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr("fernweave.storage.shared_dir", lambda _: str(tmp_path / "shared"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(ORACLES["op10_near_dedup"])
+    assert rows(N.op10_near_dedup(spark, str(tmp_path)), *want.columns) == sorted(want.fetchall(), key=repr)
+
+
 @pytest.mark.parametrize("words", range(7))
 def test_few_words_in_all(spark, rows, words):
     made = [(1, " ".join("abcdef"[:words]))]
