@@ -157,3 +157,8 @@ def test_run_in_a_folder_without_scheme(spark, tmp_path, monkeypatch, many_docs,
     monkeypatch.setattr("fernweave.storage.shared_dir", lambda _: str(tmp_path / "shared"))
     assert sorted(map(tuple, C.run(spark, sf).collect())) == want and want
     assert [d.rsplit("-", 1)[0] for d in os.listdir(tmp_path / "shared")] == ["stage-mixing-sources"]
+
+
+def test_run_against_brute_force_without_scheme(spark, tmp_path, monkeypatch, many_docs, many_rows):
+    monkeypatch.setattr("fernweave.storage.shared_dir", lambda _: str(tmp_path / "shared"))
+    test_run_against_brute_force(spark, tmp_path, many_docs, many_rows)
