@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +28,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of the tables that this process has written and not deleted, by their names, each of which occurs once.
-_folders: dict[str, str] = {}
+#: (folder, thread) of the tables that this process has written and not deleted, by the folders' names, each of which occurs once.
+_folders: dict[str, tuple[str, int]] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, cut off from its lineage: a Parquet table in the shared folder that survives lost executors."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    _folders[os.path.basename(path)] = path
+    _folders[os.path.basename(path)] = path, threading.get_ident()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,21 +53,26 @@ def folder_names(df: DataFrame) -> set[str]:
 
 def drop_written(df: DataFrame) -> None:
     """Deletes the tables that `written` made for df, once nothing reads them any more."""
-    for name in folder_names(df) & _folders.keys():
-        delete(df.sparkSession, _folders[name])
+    for name in folder_names(df) & set(_folders):
+        delete(df.sparkSession, _folders[name][0])
+
+
+def own_folders() -> list[tuple[str, str]]:
+    """(name, folder) of the tables of this thread, in order: queries that run beside it in other threads have their own."""
+    return [(name, path) for name, (path, thread) in list(_folders.items()) if thread == threading.get_ident()]
 
 
 def marked() -> int:
-    """A mark for drop_since."""
-    return len(_folders)
+    """A mark for drop_since in the same thread."""
+    return len(own_folders())
 
 
 def drop_since(mark: int, kept: DataFrame) -> None:
-    """Deletes the tables written since the mark, but for kept, once nothing reads them any more."""
+    """Deletes the tables that this thread has written since the mark, but for kept, once nothing reads them any more."""
     own = folder_names(kept)
-    for name in list(_folders)[mark:]:
+    for name, path in own_folders()[mark:]:
         if name not in own:
-            delete(kept.sparkSession, _folders[name])
+            delete(kept.sparkSession, path)
 
 
 def trim() -> None:

@@ -5,6 +5,7 @@ import os
 import random
 import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -62,6 +63,12 @@ def test_near_copies_in_a_folder_without_scheme(tmp_path, monkeypatch, many_docs
     assert sorted(d.rsplit("-", 1)[0] for d in os.listdir(tmp_path)) == ["classes", "comp", "sketch"]
 
 
+def test_near_copies_beside_each_other(many_docs, many_rows, rows):
+    """Queries in threads of one process leave each other's tables alone."""
+    with ThreadPoolExecutor(3) as pool:
+        assert [*pool.map(lambda _: rows(N.near_dedup(many_docs)), range(3))] == [brute_components(many_rows)] * 3
+
+
 def test_near_copies_against_sql(spark, tmp_path, monkeypatch, many_docs, rows):
     """The registered query beside its SQL, in a shared folder without scheme."""
     duckdb = pytest.importorskip("duckdb")

@@ -2,6 +2,7 @@ import hashlib
 import math
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pytest
@@ -150,6 +151,21 @@ def test_tables_are_deleted_by_any_name_of_the_folder(spark, tmp_path, monkeypat
     assert left() == [] and mark - 1 == marked()
 
 
+def test_tables_of_other_threads_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("fernweave.storage.shared_dir", lambda _: str(tmp_path))
+    with ThreadPoolExecutor(1) as pool:
+        mark = pool.submit(marked).result()
+        here = written(spark.range(2), "here")
+        other, kept = (pool.submit(written, spark.range(3), name).result() for name in ("other", "kept"))
+        pool.submit(drop_since, mark, kept).result()
+        assert sorted(d.split("-")[0] for d in os.listdir(tmp_path)) == ["here", "kept"]
+        assert (here.count(), kept.count()) == (2, 3) and other.schema == kept.schema
+        pool.submit(drop_written, kept).result()
+        assert pool.submit(marked).result() == mark
+    drop_written(here)
+    assert os.listdir(tmp_path) == []
+
+
 def test_run_in_a_folder_without_scheme(spark, tmp_path, monkeypatch, many_docs, many_rows):
     """Every stage reads what the one before wrote, and only the last result stays."""
     sf = folder(spark, tmp_path / "sf", many_docs, [(r[0], int(r[0] % 10 > 0), 0) for r in many_rows[:150]], [(1, many_rows[0][1])])
