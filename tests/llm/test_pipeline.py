@@ -178,3 +178,11 @@ def test_run_in_a_folder_without_scheme(spark, tmp_path, monkeypatch, many_docs,
 def test_run_against_brute_force_without_scheme(spark, tmp_path, monkeypatch, many_docs, many_rows):
     monkeypatch.setattr("fernweave.storage.shared_dir", lambda _: str(tmp_path / "shared"))
     test_run_against_brute_force(spark, tmp_path, many_docs, many_rows)
+
+
+def test_runs_beside_each_other(spark, tmp_path, many_docs, many_rows):
+    """Runs in threads of one process leave each other's stages alone."""
+    sf = folder(spark, tmp_path / "sf", many_docs, [(r[0], int(r[0] % 10 > 0), 0) for r in many_rows[:150]], [(1, many_rows[0][1])])
+    want = sorted(map(tuple, C.run(spark, sf).collect()))
+    with ThreadPoolExecutor(2) as pool:
+        assert [*pool.map(lambda _: sorted(map(tuple, C.run(spark, sf).collect())), range(2))] == [want] * 2 and want
