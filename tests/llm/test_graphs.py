@@ -80,6 +80,25 @@ def test_near_copies_against_sql(spark, tmp_path, monkeypatch, many_docs, rows):
     assert rows(N.op10_near_dedup(spark, str(tmp_path)), *want.columns) == sorted(want.fetchall(), key=repr)
 
 
+def test_odd_texts_against_sql_beside_each_other(spark, tmp_path, rows):
+    """The registered query twice in threads beside its SQL: case, separators and marks that only some libraries take for such."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(11)
+    words, seps = ["a", "B", "Ä", "ä", "İ", "ß", "ſ", "K", "😀", "x\x00y", "\ufeff", "..."], [" ", "\t", "\x0b", "\x0c", "\xa0", "\x1c", "\x85", "\u2028", "\x00"]
+    made = [(i, t) for i, t in enumerate([None, "", " \n", "\xa0", "\x00", "a", "A", "a b c d", "A B c D"])]
+    for i in range(len(made), 120):
+        w = rng.choice(made[9:])[1].split(" ") if i > 60 else [rng.choice(words) + (rng.choice(seps) if rng.random() < 0.2 else "") for _ in range(rng.randint(1, 60))]
+        w[rng.randrange(len(w))] = rng.choice(words)
+        made.append((i * rng.choice([1, -1, 10**12]), rng.choice(["", *seps]) + " ".join(w)))
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(ORACLES["op10_near_dedup"])
+    names, want = want.columns, sorted(want.fetchall(), key=repr)
+    with ThreadPoolExecutor(2) as pool:
+        assert [*pool.map(lambda _: rows(N.op10_near_dedup(spark, str(tmp_path)), *names), range(2))] == [want] * 2
+
+
 @pytest.mark.parametrize("words", range(7))
 def test_few_words_in_all(spark, rows, words):
     made = [(1, " ".join("abcdef"[:words]))]
