@@ -354,7 +354,8 @@ def near_dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The contract's columns: kept is doc_id = component_id, so it is null for rows without doc_id, as in the SQL."""
+    return near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

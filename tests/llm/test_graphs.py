@@ -99,6 +99,17 @@ def test_odd_texts_against_sql_beside_each_other(spark, tmp_path, rows):
         assert [*pool.map(lambda _: rows(N.op10_near_dedup(spark, str(tmp_path)), *names), range(2))] == [want] * 2
 
 
+def test_edges_against_sql(spark, tmp_path, edge_docs, no_docs, rows):
+    """The registered query beside its SQL: rows without doc_id, some of them near copies, repeated ids, nulls; no rows."""
+    duckdb = pytest.importorskip("duckdb")
+    for name, docs in (("edges", edge_docs), ("none", no_docs)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        want = c.sql(ORACLES["op10_near_dedup"])
+        assert rows(N.op10_near_dedup(spark, f"{tmp_path}/{name}"), *want.columns) == sorted(want.fetchall(), key=repr)
+
+
 @pytest.mark.parametrize("words", range(7))
 def test_few_words_in_all(spark, rows, words):
     made = [(1, " ".join("abcdef"[:words]))]
