@@ -236,15 +236,23 @@ class Construct:
 
 
 def anchored(pages: DataFrame) -> DataFrame:
-    """(url, pos, heading, level, text, anchor): headed sections; later equal anchors of a page get -2, -3, ..."""
-    return anchored_rows(pages.select("url", F.posexplode("sections").alias("pos", "x")).select("url", "pos", "x.heading", "x.level", "x.text"))
+    """(url, pos, heading, level, text, anchor): headed sections; later equal anchors of a page get -2, -3, ...
+
+    Each version of a page that is given more than once is numbered by itself, and equal versions alike.
+    """
+    rows = pages.select("url", F.xxhash64("sections").alias("_page"), F.posexplode("sections").alias("pos", "x")).select("url", "_page", "pos", "x.heading", "x.level", "x.text")
+    return _numbered(rows, F.dense_rank(), "url", "_page").drop("_page")
 
 
 def anchored_rows(rows: DataFrame) -> DataFrame:
     """The same of sections that are rows already (url, pos, heading, level, text)."""
+    return _numbered(rows, F.row_number(), "url")
+
+
+def _numbered(rows: DataFrame, number: Column, *page: str) -> DataFrame:
     s = rows.where("level > 0 and heading != ''")
     s = s.withColumn("_a", X.heading_anchor(F.col("heading"))).where("_a != ''")
-    n = F.row_number().over(W.partitionBy("url", "_a").orderBy("pos"))
+    n = number.over(W.partitionBy(*page, "_a").orderBy("pos"))
     return s.withColumn("_n", n).withColumn("anchor", F.when(F.col("_n") == 1, F.col("_a")).otherwise(F.concat("_a", F.lit("-"), F.col("_n").cast("string")))).drop("_a", "_n")
 
 

@@ -83,3 +83,30 @@ def test_graph_is_stored_once_for_each_state(spark, tmp_path):
     assert n() == 4 and n() == 4
     write("documents", docs(5))
     assert n() == 6
+
+
+def same_as_sql(spark, name, **tables):
+    """The rows of a query over tables {name: folder or file}, after they have been compared with those of its SQL."""
+    at = os.path.commonpath(list(tables.values())) if len(tables) > 1 else os.path.dirname(next(iter(tables.values())))
+    c = duckdb.connect()
+    for t, path in tables.items():
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    df = Q.QUERIES[name](spark, f"file://{at}")
+    rel = c.sql(Q.SQL[name]).select(*df.columns)
+    have = sorted((tuple(map(plain, r)) for r in df.collect()), key=repr)
+    assert have == sorted((tuple(map(plain, r)) for r in rel.fetchall()), key=repr)
+    return have
+
+
+def written(spark, at, **tables):
+    """tables {name: DataFrame} as Parquet in a folder; their paths by name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"file://{at}/{name}.parquet")
+    return {name: f"{at}/{name}.parquet" for name in tables}
+
+
+def test_pages_of_one_url(spark, tmp_path):
+    """A page that was fetched more than once, changed or not, has its anchors numbered by itself."""
+    pages = spark.createDataFrame([(1, "https://s/a", "<p>1</p>"), (2, "https://s/a", "<p>2</p>"), (2, "https://s/a", "<p>2</p>"), (3, "https://s/b", None)], "page_id long, url string, html string")
+    rows = same_as_sql(spark, "c13_page_quads", **written(spark, tmp_path, pages=pages))
+    assert {r[2] for r in rows if r[0].endswith("a#same-part-2") and r[1].endswith("#text")} == {"two"}
