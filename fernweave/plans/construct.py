@@ -185,7 +185,7 @@ class Construct:
     def related(self, rows: DataFrame, g: Column, node: Column) -> DataFrame:
         """Related solutions: the exact relative path, else the first document of that base name."""
         want = rows.select("slug", "lid", F.explode(F.col("meta")["related_solutions"]).alias("x")).withColumn("base", F.substring_index("x", "/", -1))
-        have = rows.select("slug", "path", F.substring_index("path", "/", -1).alias("base"))
+        have = rows.select("slug", "path", F.substring_index("path", "/", -1).alias("base")).distinct()  # a path of many documents is joined once
         exact = want.join(have.select("slug", F.col("path").alias("x"), F.col("path").alias("_exact")), ["slug", "x"], "left")
         found = exact.join(have.groupBy("slug", "base").agg(F.min("path").alias("_base")), ["slug", "base"], "left")
         return quads(found, g, node, [iri(self.o("relatedSolution"), self.iris.doc(F.col("slug"), F.coalesce("_exact", "_base")))])

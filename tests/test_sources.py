@@ -225,3 +225,10 @@ def test_landing_stream(spark, tmp_path):
         landing.append_quads(landing.issue_stream(spark, f"file://{tmp_path}/in"), build, path, ck).awaitTermination(120)
     q = spark.read.parquet(path)
     assert q.count() == q.dropDuplicates().count() and q.where(f"p = '{G.TITLE}'").count() == 2
+
+
+def test_related_solutions_of_one_path(spark):
+    """Documents that share a path are joined once with those that want it."""
+    rows = spark.createDataFrame([("s", "d/a.md", str(i), {"related_solutions": ["d/a.md"]}) for i in range(20)], "slug string, path string, lid string, meta map<string, array<string>>")
+    c = Construct(GraphConfig())
+    assert c.related(rows, F.lit("g"), F.col("lid")).count() == 20
