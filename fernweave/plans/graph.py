@@ -22,10 +22,14 @@ ATTRIBUTED = "http://www.w3.org/ns/prov#wasAttributedTo"
 
 
 class Graph:
-    """quads (g, s, p, o, o_kind, o_dt, o_lang). `distinct`: whether a term set occurs in one graph only."""
+    """quads (g, s, p, o, o_kind, o_dt, o_lang). `distinct`: whether no (s, p, o) occurs twice, in one graph or in two. tasks: see spread()."""
 
-    def __init__(self, quads: DataFrame, cfg: GraphConfig | None = None, distinct: bool = False):
-        self.quads, self.cfg, self.distinct = quads, cfg or GraphConfig(), distinct
+    def __init__(self, quads: DataFrame, cfg: GraphConfig | None = None, distinct: bool = False, tasks: int | None = None):
+        self.quads, self.cfg, self.distinct, self.tasks = quads, cfg or GraphConfig(), distinct, tasks
+
+    def spread(self, df: DataFrame, *cols: str) -> DataFrame:
+        """df by cols over as many tasks as its rows need, where that is known. Adaptive execution goes by compressed bytes, and sorted identifiers have few: it would leave millions of rows to a task."""
+        return df.repartition(self.tasks, *cols) if self.tasks else df
 
     @cached_property
     def union(self) -> DataFrame:
@@ -49,7 +53,8 @@ class Graph:
     def instances(self, *names: str) -> DataFrame:
         """(s, type): nodes of the named classes of the vocabulary."""
         t = self.quads.where((F.col("p") == RDF_TYPE) & F.col("o").isin(*[self.onto(n) for n in names]))
-        return t.select("s", F.col("o").alias("type")).distinct()
+        t = t.select("s", F.col("o").alias("type"))
+        return t if self.distinct else t.distinct()
 
     @cached_property
     def node_types(self) -> DataFrame:
@@ -77,7 +82,7 @@ class Graph:
         spark = self.quads.sparkSession
         kept = self.quads.where(~((F.col("s") == s) & (F.col("p") == p)))
         row = spark.createDataFrame([(g or self.cfg.spine, s, p, o, o_kind, o_dt, None)], self.quads.schema)
-        return Graph(kept.unionByName(row), self.cfg, self.distinct)
+        return Graph(kept.unionByName(row), self.cfg, self.distinct, self.tasks)
 
     def added(self, *more: DataFrame) -> Graph:
         q = self.quads

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT_NAMESPACE, GraphConfig
 from ..model import QUAD, TERM
-from ..storage import fresh_dir, state_of
+from ..storage import delete, fresh_dir, state_of
 from . import graph as G
 from .construct import DATETIME, INTEGER, STRING
 from .graph import Graph
@@ -103,6 +108,18 @@ SETS: dict[str, tuple[str, list[tuple[str, str, str, str, str, str | None]]]] =
 }
 
 
+#: (table whose rows a set has, key of its rows, subjects that the key names, columns without which these are null):
+#: the other subjects are shared by many rows.
+KEYS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
+    "docs": ("documents", ("id",), ("node", "doc"), ("id",)),
+    "events": ("events", ("event_id",), ("node",), ("event_id", "slug")),
+    "orders": ("orders", ("k",), ("node",), ("k",)),
+    "places": ("customer", ("a", "b"), ("a",), ("a",)),
+}
+#: Rows of a set in one task; the characters of a text that facts show.
+ROWS_A_TASK, SHOWN = 200_000, 400
+
+
 class _Names(dict):
     def __missing__(self, key: str) -> str:
         return key
@@ -128,6 +145,70 @@ def table_quads(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return out.dropDuplicates()
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    return 1 + max(rows // ROWS_A_TASK, min(rows // 10_000, spark.sparkContext.defaultParallelism))
+
+
+def set_rows(spark: SparkSession, sf_dir: str, name: str, path: str) -> DataFrame:
+    """The distinct rows that a set's facts are made of, stored at path, with _one: whether a row is the only one of its key, and names its subjects.
+
+    They are far narrower than their facts. Tasks have a bounded number of rows, whatever the size of the tables.
+    """
+    base, table, key = SETS[name][0], KEYS[name][0], [F.col(c) for c in KEYS[name][1]]
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used_tables(base)}
+    if "documents" in used:  # facts show no more of a text, and the join needn't move it
+        used["documents"] = used["documents"].withColumn("text", F.substring("text", 1, SHOWN))
+    rows = spark.sql("SELECT * FROM (" + base.split("FROM (", 1)[1], **used)
+    tasks = tasks_for(spark, used[table].count())
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in KEYS[name][3]])
+    rows = rows.repartition(tasks, *key).distinct().withColumn("_one", known & (F.count("*").over(W.partitionBy(*key)) == 1))
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def facts_of(rows: DataFrame, facts: list[tuple]) -> DataFrame:
+    """The facts of rows; equal ones of one row are one."""
+    text = lambda v: "cast(null as string)" if v is None else f"'{v}'"
+    each = [f"'{g}' as g, {sub} as s, {obj} as o, '{kind}' as o_kind, {text(dt)} as o_dt" for g, sub, _, obj, kind, dt in facts]
+    if len(each) == 1:
+        return rows.where(f"({facts[0][3]}) is not null").select(F.expr(f"struct({each[0]})").alias("x")).select("x.*")
+    return rows.selectExpr(f"inline(array_distinct(array({', '.join(f'struct({e})' for e in each)})))").where("o is not null")
+
+
+def write_graph(spark: SparkSession, sf_dir: str, names: tuple[str, ...], path: str) -> None:
+    """The distinct quads of the sets by predicate, each predicate written as it is made.
+
+    The facts of a key with one row are distinct as they are, and are neither moved nor sorted. Those of shared subjects
+    and of keys with several rows, or with none, are made distinct.
+    """
+    folder = fresh_dir(spark, "rows")
+    stored = {n: set_rows(spark, sf_dir, n, f"{folder}/{n}") for n in dict.fromkeys(names)}
+    view = {n: spark.sql(SETS[n][0].split("FROM (", 1)[0].replace("SELECT ", "SELECT _one, ", 1) + "FROM {rows}", rows=df) for n, df in stored.items()}
+    several = {n for n, df in stored.items() if not df.where("not _one").isEmpty()}
+    alone: dict[str, list[DataFrame]] = {}
+    others: dict[str, list[DataFrame]] = {}
+    for n, df in view.items():
+        facts = SETS[n][1]
+        for p in dict.fromkeys(f[2] for f in facts):
+            own = [f for f in facts if f[2] == p and f[1] in KEYS[n][2]]
+            shared = [f for f in facts if f[2] == p and f[1] not in KEYS[n][2]]
+            if own:
+                alone.setdefault(p, []).append(facts_of(df.where("_one"), own))
+            if own and n in several:
+                others.setdefault(p, []).append(facts_of(df.where("not _one"), own))
+            if shared:
+                others.setdefault(p, []).append(facts_of(df, shared))
+
+    def write(p: str) -> None:
+        frames = alone.get(p, []) + ([reduce(DataFrame.unionByName, others[p]).distinct()] if p in others else [])
+        value = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(p)
+        reduce(DataFrame.unionByName, frames).withColumn("o_lang", F.lit(None).cast("string")).write.option("compression", "zstd").parquet(f"{path}/p={value}")
+
+    with ThreadPoolExecutor(4) as pool:  # the last tasks of a predicate run beside the next
+        list(pool.map(write, dict.fromkeys([*alone, *others])))
+    delete(spark, folder)
+
+
 #: Where the graphs of this process are stored, by session, tables and their state.
 _stored: dict[tuple, str] = {}
 
@@ -143,10 +224,10 @@ def table_graph(spark: SparkSession, sf_dir: str, *names: str) -> Graph:
     path = _stored.get(key)
     if path is None or state_of(spark, path) is None:
         path = fresh_dir(spark, "graph")
-        # a predicate's rows are in few files, and one with many rows is split
-        table_quads(spark, sf_dir, *names).hint("rebalance", "p").write.partitionBy("p").parquet(path)
+        write_graph(spark, sf_dir, names, path)
         _stored[key] = path
-    return Graph(spark.read.schema(QUAD).parquet(path).select("g", *TERM), GraphConfig(), distinct=True)
+    tasks = tasks_for(spark, max(spark.read.parquet(f"{sf_dir}/{KEYS[n][0]}.parquet").count() for n in names))
+    return Graph(spark.read.schema(QUAD).parquet(path).select("g", *TERM), GraphConfig(), distinct=True, tasks=tasks)
 
 
 def quads_sql(*names: str) -> str:

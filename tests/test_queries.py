@@ -5,6 +5,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fernweave import queries as Q
@@ -110,3 +111,34 @@ def test_pages_of_one_url(spark, tmp_path):
     pages = spark.createDataFrame([(1, "https://s/a", "<p>1</p>"), (2, "https://s/a", "<p>2</p>"), (2, "https://s/a", "<p>2</p>"), (3, "https://s/b", None)], "page_id long, url string, html string")
     rows = same_as_sql(spark, "c13_page_quads", **written(spark, tmp_path, pages=pages))
     assert {r[2] for r in rows if r[0].endswith("a#same-part-2") and r[1].endswith("#text")} == {"two"}
+
+
+def test_graph_of_odd_tables(spark, tmp_path, monkeypatch):
+    """Repeated, changed and missing keys, and one subject in two sets: the stored quads are the set that the SQL makes, and no task has many rows."""
+    from fernweave.plans import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    long = "x" * 300 + "\n" + "y" * 300
+    at = written(
+        spark,
+        tmp_path,
+        documents=make([(1, "a\nb", "en", "user8"), (1, "a\nb", "en", "user8"), (1, "other", "de", "s"), (2, long, None, "s"), (2, long + "z", None, "s"), (3, None, "de", None), (None, "t", "de", "s"), (None, "t", "de", "s")], "doc_id long, text string, lang string, source string"),
+        labels=make([(1, 1), (1, 0), (2, None), (3, 0), (3, 0), (None, 1)], "doc_id long, quality int"),
+        events=make([(1, 8, "view"), (1, 9, "view"), (1, 8, "purchase"), (2, 58, "signup"), (2, 58, "signup"), (3, 8, "error"), (4, None, "click"), (None, 1, "view")], "event_id long, user_id long, event_type string").selectExpr("*", "timestamp_ntz '2024-01-02 03:04:05' + make_interval(0, 0, 0, event_id) ts"),
+        orders=make([(i, i % 7, "FOP"[i % 3], "1-URGENT") for i in range(1500)] + [(5, 5, "O", "AI-Implement"), (7, 0, "F", "AI-Implement"), (None, 1, "F", None), (None, 2, "O", "2-HIGH")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        customer=make([(i, i % 3, "ABC"[i % 3]) for i in range(7)] + [(2, 1, "Z"), (None, 1, "A")], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        supplier=make([(1, 2), (1, 2), (1, None)], "s_suppkey long, s_nationkey int"),
+        nation=make([(i, i % 2) for i in range(3)], "n_nationkey int, n_regionkey int"),
+    )
+    c = duckdb.connect()
+    for name, path in at.items():
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/*.parquet'")
+    cols = ["g", "s", "p", "o", "o_kind", "o_dt"]
+    for names in (("docs", "events", "orders", "places"), ("docs",), ("orders",)):
+        have = sorted(map(tuple, tables.table_graph(spark, f"file://{tmp_path}", *names).quads.select(*cols).collect()), key=repr)
+        assert have == sorted(c.sql(f"WITH {tables.quads_sql(*names)} SELECT {', '.join(cols)} FROM quads").fetchall(), key=repr)
+    rows = tables.set_rows(spark, f"file://{tmp_path}", "orders", f"file://{tmp_path}/rows")
+    assert max(r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()) < 250
+    keys = {r.k for r in rows.where("_one").collect()}
+    assert len(keys) == 1500 - 2 - len([i for i in range(1500) if i % 7 == 2]) and None not in keys
