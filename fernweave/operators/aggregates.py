@@ -21,19 +21,22 @@ def graph_sizes(graph: Graph) -> DataFrame:
 
 def nodes_by_type(graph: Graph) -> DataFrame:
     """Nodes by class, most first."""
-    t = graph.node_types.groupBy("type").agg(F.count_distinct("iri").alias("n"))
+    t = graph.node_types.groupBy("type").agg((F.count("iri") if graph.distinct else F.count_distinct("iri")).alias("n"))
     return t.select(local_name(F.col("type")).alias("type"), "n").orderBy(F.desc("n"), "type")
 
 
 def issues_by_team(graph: Graph) -> DataFrame:
-    return graph.instances("Issue").join(graph.values(graph.onto("trackerTeam"), "team"), "s").groupBy("team").agg(F.count_distinct("s").alias("n")).orderBy("team")
+    teams, issues = graph.values(graph.onto("trackerTeam"), "team"), graph.instances("Issue").select("s")
+    of_issues = graph.spread(teams, "s").join(graph.spread(issues, "s"), "s", "left_semi")
+    return of_issues.groupBy("team").agg((F.count("s") if graph.distinct else F.count_distinct("s")).alias("n")).orderBy("team")
 
 
 def edge_counts(graph: Graph, names: Sequence[str] = DIGEST_EDGES) -> DataFrame:
     """Statements of each named predicate; those without any are listed with 0."""
     spark = graph.quads.sparkSession
     wanted = spark.createDataFrame([(n, graph.onto(n)) for n in names], "predicate string, p string")
-    n = graph.quads.where(F.col("p").isin([graph.onto(x) for x in names])).select("s", "p", "o").distinct().groupBy("p").agg(F.count("*").alias("n"))
+    t = graph.quads.where(F.col("p").isin([graph.onto(x) for x in names])).select("s", "p", "o")
+    n = (t if graph.distinct else t.distinct()).groupBy("p").agg(F.count("*").alias("n"))
     return wanted.join(n, "p", "left").select("predicate", F.coalesce("n", F.lit(0)).alias("n")).orderBy("predicate")
 
 

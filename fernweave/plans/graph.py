@@ -27,9 +27,9 @@ class Graph:
     def __init__(self, quads: DataFrame, cfg: GraphConfig | None = None, distinct: bool = False, tasks: int | None = None):
         self.quads, self.cfg, self.distinct, self.tasks = quads, cfg or GraphConfig(), distinct, tasks
 
-    def spread(self, df: DataFrame, *cols: str) -> DataFrame:
-        """df by cols over as many tasks as its rows need, where that is known. Adaptive execution goes by compressed bytes, and sorted identifiers have few: it would leave millions of rows to a task."""
-        return df.repartition(self.tasks, *cols) if self.tasks else df
+    def spread(self, df: DataFrame, *cols: str, times: int = 1) -> DataFrame:
+        """df by cols over as many tasks as its rows need, where that is known; times: for rows of many predicates. Adaptive execution goes by compressed bytes, and sorted identifiers have few: it would leave millions of rows to a task."""
+        return df.repartition(times * self.tasks, *cols) if self.tasks else df
 
     @cached_property
     def union(self) -> DataFrame:
