@@ -54,15 +54,17 @@ def topics(graph: Graph) -> DataFrame:
 def issue_inventory(graph: Graph) -> DataFrame:
     """(key, team, status, project, labels, parent, learned): one line an issue, `-` for what is missing, by team and number."""
     at = lambda p, name: graph.values(graph.onto(p), name)
-    one = lambda df, c: df.groupBy("s").agg(F.min(c).alias(c))
+    one = lambda df, c: graph.spread(df, "s").groupBy("s").agg(F.min(c).alias(c))
+    to = lambda p: graph.where(graph.onto(p)).select("s", F.col("o").alias("x"))
     title = graph.values(G.TITLE, "t")
-    project = graph.where(graph.onto("inProject")).select("s", F.col("o").alias("x")).join(title.select(F.col("s").alias("x"), F.col("t").alias("project")), "x").groupBy("s").agg(F.min("project").alias("project"))
-    parent = graph.where(graph.onto("partOf")).select("s", F.col("o").alias("x")).join(at("trackerKey", "parent").withColumnRenamed("s", "x"), "x").groupBy("s").agg(F.min("parent").alias("parent"))
-    labels = at("label", "l").groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("l")), ", ").alias("labels"))
+    titled = title.select(F.col("s").alias("x"), F.col("t").alias("project")).join(to("inProject").select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.min("project").alias("project"))  # a row a project, however many issues it has
+    project = one(to("inProject").join(titled, "x"), "project")
+    parent = one(graph.spread(to("partOf"), "x").join(graph.spread(at("trackerKey", "parent").withColumnRenamed("s", "x"), "x"), "x"), "parent")
+    labels = graph.spread(at("label", "l"), "s").groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("l")), ", ").alias("labels"))
     phase = F.when(F.contains("t", F.lit("build-up")), "up").when(F.contains("t", F.lit("build-down")), "down")
     learned = graph.instances("Learning").join(title, "s").withColumn("phase", phase).where("phase is not null").join(graph.where(G.DERIVED).select("s", F.col("o").alias("x")), "s").groupBy(F.col("x").alias("s")).agg(F.array_join(F.array_sort(F.collect_set("phase")), ",").alias("learned"))
-    out = graph.instances("Issue").select("s").join(one(at("trackerKey", "key"), "key"), "s")
-    for part in (one(at("trackerTeam", "team"), "team"), one(at("status", "status"), "status"), project, labels, parent, learned):
+    out = graph.spread(graph.instances("Issue").select("s"), "s").join(one(at("trackerKey", "key"), "key"), "s")
+    for part in (one(at("trackerTeam", "team"), "team"), one(at("status", "status"), "status"), project, labels, parent, graph.spread(learned, "s")):
         out = out.join(part, "s", "left")
     dash = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("-")).alias(c)
     number = F.coalesce(F.try_to_number(F.substring_index("key", "-", -1), F.lit("999999999999")), F.lit(0)).cast("long")
