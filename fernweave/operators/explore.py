@@ -113,10 +113,10 @@ def path(graph: Graph, start: str, goal: str, max_len: int = 4, degree_cap: int
 def closure(edges: DataFrame, pred: str, starts: DataFrame) -> DataFrame:
     """(src, dst): all pairs connected by one or more steps of a predicate, from starts (src).
 
-    Semi-naive: a round joins only the pairs that the last one found. It ends when a round finds none, as
-    one must: there are finitely many pairs, and each round's are new.
+    Semi-naive: a round joins only the pairs that the last one found, and writes only those that it finds itself. It
+    ends when a round finds none, as one must: there are finitely many pairs, and each round's are new.
     """
-    e = edges.where(F.col("pred") == pred).select("src", "dst").distinct()
+    e = _cut(edges.where(F.col("pred") == pred).select("src", "dst").distinct())
     new = _cut(e.join(starts.select("src").distinct(), "src", "left_semi"))
     found = new
     while True:
@@ -124,7 +124,7 @@ def closure(edges: DataFrame, pred: str, starts: DataFrame) -> DataFrame:
         new = _cut(step.join(found, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return found
-        found = _cut(found.unionByName(new))
+        found = found.unionByName(new)
 
 
 def derived_from_docs(graph: Graph) -> int:
