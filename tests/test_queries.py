@@ -142,3 +142,33 @@ def test_graph_of_odd_tables(spark, tmp_path, monkeypatch):
     assert max(r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()) < 250
     keys = {r.k for r in rows.where("_one").collect()}
     assert len(keys) == 1500 - 2 - len([i for i in range(1500) if i % 7 == 2]) and None not in keys
+
+
+def exchanges(spark, name):
+    """(columns, tasks) by which a query's plan deals out rows."""
+    plan = Q.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    return [(tuple(re.sub(r"#\d+L?", "", c) for c in cols.split(", ")[:-1]), int(cols.split(", ")[-1])) for cols in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
+
+
+@pytest.mark.parametrize("name", ["a2_nodes_by_type", "a4_edge_counts_zero"])
+def test_counts_move_no_statements(spark, name):
+    """The stored quads are distinct, so they are counted where they lie."""
+    assert all(len(cols) == 1 and cols[0] not in ("s", "iri") for cols, _ in exchanges(spark, name))
+
+
+@pytest.mark.parametrize("name, n, factor", [("a3_by_team", 2, 1), ("a7_inventory", 8, 1), ("q13_groupby", 1, 4), ("i1_cards", 1, 2)])
+def test_tasks_of_nodes_have_a_bounded_number_of_rows(spark, monkeypatch, name, n, factor):
+    from fernweave.plans import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    assert sum(tasks == factor * 16 and "s" in cols for cols, tasks in exchanges(spark, name)) >= n  # 1,500 orders
+
+
+def test_closure_writes_a_pair_once(spark, monkeypatch):
+    from fernweave.operators import explore
+
+    cut, n = explore._cut, []
+    monkeypatch.setattr(explore, "_cut", lambda df: (out := cut(df), n.append(out.count()))[0])
+    edges = spark.createDataFrame([(f"n{i}", "p", f"n{i + 1}") for i in range(6)] + [("n6", "p", "n0"), ("n2", "q", "n9")], "src string, pred string, dst string")
+    assert explore.closure(edges, "p", edges.select("src")).distinct().count() == 49
+    assert sum(n) == 7 + 49
