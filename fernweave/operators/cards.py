@@ -39,7 +39,7 @@ def build_cards(graph: Graph, only: DataFrame | None = None) -> DataFrame:
         return F.min(F.when((F.col("p") == p) & (F.col("o") != ""), F.col("o"))).alias(name)
 
     shown = F.when(~F.lower("o").isin(*K.LIFECYCLE_LABELS), of(own("label")))
-    node = facts.groupBy("s").agg(
+    node = (graph.spread(facts, "s", times=2) if only is None else facts).groupBy("s").agg(
         F.collect_set(of(G.RDF_TYPE)).alias("types"), F.count_if(F.col("p") == G.TITLE).alias("titles"), least(G.TITLE, "title"), F.array_sort(F.collect_set(of(TAG))).alias("tags"), F.array_sort(F.collect_set(shown)).alias("labels"), *[least(own(p), p) for p in sorted(props - {"label", "partOf"})], F.collect_set(of(own("partOf"))).alias("wholes")
     )  # types are of nine classes at most
     each = node.where("titles > 0 and size(types) > 0").withColumn("type", F.explode(F.transform("types", lambda t: F.substring_index(t, "#", -1)))).where("type != 'DocSection'")
