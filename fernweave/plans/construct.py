@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,11 +28,16 @@ def lit(p: str, o: Column, dt: str | None = None) -> Fact:
     return p, o.cast("string"), "literal", dt
 
 
-def quads(df: DataFrame, g: Column, s: Column, facts: list[Fact]) -> DataFrame:
-    """A quad for each fact with a value, for each row."""
-    each = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt")) for p, o, k, dt in facts])
-    rows = df.select(g.alias("g"), s.alias("s"), F.explode(each).alias("x")).where("x.o is not null and s is not null")
-    return rows.select("g", "s", "x.p", "x.o", "x.o_kind", "x.o_dt", F.lit(None).cast("string").alias("o_lang"))
+def term(fact: Fact) -> Column:
+    p, o, k, dt = fact
+    return F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"))
+
+
+def quads(df: DataFrame, g: Column, s: Column, facts: list[Fact], more: Sequence[Column] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """A quad for each fact with a value, for each row; more: arrays of further terms, keep: columns that stay."""
+    each = F.array(*map(term, facts))
+    rows = df.select(g.alias("g"), s.alias("s"), F.explode(F.concat(each, *more) if more else each).alias("x"), *keep).where("x.o is not null and s is not null")
+    return rows.select("g", "s", "x.p", "x.o", "x.o_kind", "x.o_dt", F.lit(None).cast("string").alias("o_lang"), *keep)
 
 
 def not_empty(c: Column) -> Column:
@@ -107,31 +114,39 @@ class Construct:
 
     # --- tracker ---
     def issues(self, df: DataFrame) -> DataFrame:
-        """df: model.ISSUE."""
+        """df: model.ISSUE.
+
+        Most facts belong to one issue: where its rows are one, they are distinct as they are made. Only rows move, by
+        identifier; what issues share, and nodes' types, which other issues state too, are made distinct in narrow form.
+        """
         key, node = F.col("identifier"), self.iris.issue(F.col("identifier"))
+        rows = df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("identifier")))
         team = F.coalesce(not_empty(F.col("team")), F.when(F.instr(key, "-") > 0, F.substring_index(key, "-", 1)), F.lit("UNKNOWN"))
         state = not_empty(F.col("state.name"))
-        own = quads(df, self.spine, node, [self.type("Issue"), lit(self.o("trackerKey"), key), lit(self.o("trackerTeam"), team), lit(self.o("sourceSystem"), F.coalesce(not_empty(F.col("sourceSystem")), F.lit("linear"))), lit(G.TITLE, X.first_of(F.coalesce(not_empty(F.col("title")), key), self.cfg.issue_title_chars)), lit(G.RDFS_LABEL, key), lit(self.o("description"), not_empty(X.first_of(F.col("description"), self.cfg.description_chars))), lit(self.o("branchName"), not_empty(F.col("branchName"))), lit(self.o("state"), state), lit(self.o("status"), X.status(state)), iri(self.o("inProject"), F.when(F.col("project.name") != "", self.iris.project(F.col("project.name")))), iri(self.o("partOf"), F.when(F.col("parent.identifier") != "", self.iris.issue(F.col("parent.identifier"))))])
-        labels = df.select("identifier", F.explode("labels.nodes.name").alias("tag")).where("tag != ''")
-        named = quads(labels, self.spine, node, [lit(self.o("label"), F.col("tag"))])
-        tags = labels.select("identifier", F.lower("tag").alias("tag")).where(~F.col("tag").isin(*K.LIFECYCLE_LABELS))
-        tagged = quads(tags, self.spine, node, [iri(self.o("tagged"), self.iris.topic(F.col("tag")))]).unionByName(self.topics(tags, self.spine))
-        projects = quads(df.where("project.name != ''"), self.spine, self.iris.project(F.col("project.name")), [self.type("Project"), lit(G.TITLE, F.col("project.name"))])
-        parents = quads(df.where("parent.identifier != ''"), self.spine, self.iris.issue(F.col("parent.identifier")), [self.type("Issue")])
-        out = own
-        for more in (named, tagged, projects, parents, self.relations(df.select("identifier", F.explode("relations.nodes").alias("r")).select("identifier", "r.type", F.col("r.relatedIssue.identifier").alias("other")))):
+        own = [lit(self.o("trackerKey"), key), lit(self.o("trackerTeam"), team), lit(self.o("sourceSystem"), F.coalesce(not_empty(F.col("sourceSystem")), F.lit("linear"))), lit(G.TITLE, X.first_of(F.coalesce(not_empty(F.col("title")), key), self.cfg.issue_title_chars)), lit(G.RDFS_LABEL, key), lit(self.o("description"), not_empty(X.first_of(F.col("description"), self.cfg.description_chars))), lit(self.o("branchName"), not_empty(F.col("branchName"))), lit(self.o("state"), state), lit(self.o("status"), X.status(state)), iri(self.o("inProject"), F.when(F.col("project.name") != "", self.iris.project(F.col("project.name")))), iri(self.o("partOf"), F.when(F.col("parent.identifier") != "", self.iris.issue(F.col("parent.identifier"))))]
+        labels = F.array_distinct(F.filter(F.coalesce("labels.nodes.name", F.array().cast("array<string>")), lambda x: x != ""))
+        tags = F.array_distinct(F.filter(F.transform(labels, F.lower), lambda x: ~x.isin(*K.LIFECYCLE_LABELS)))
+        of_issues = quads(rows, self.spine, node, own, [F.transform(labels, lambda x: term(lit(self.o("label"), x))), F.transform(tags, lambda x: term(iri(self.o("tagged"), self.iris.topic(x))))], keep=["_n"])
+        out = of_issues.where("_n = 1").drop("_n").unionByName(of_issues.where("_n > 1").drop("_n").distinct())
+        named = df.select(F.explode(tags).alias("tag"))
+        projects = quads(df.select("project.name").where("name != ''").distinct(), self.spine, self.iris.project(F.col("name")), [self.type("Project"), lit(G.TITLE, F.col("name"))])
+        related = df.select("identifier", F.explode("relations.nodes").alias("r")).select("identifier", "r.type", F.col("r.relatedIssue.identifier").alias("other"))
+        issues = df.select("identifier").unionByName(df.select(F.col("parent.identifier").alias("identifier")).where("identifier != ''")).unionByName(related.select(F.col("other").alias("identifier")).where("identifier != ''")).distinct()
+        for more in (quads(issues, self.spine, node, [self.type("Issue")]), self.topics(named, self.spine), projects, self._edges(related).distinct()):
             out = out.unionByName(more)
-        return out.dropDuplicates()
+        return out
 
     def relations(self, df: DataFrame) -> DataFrame:
         """df (identifier, type, other): blocks is turned round to dependsOn, duplicate is duplicateOf, all else relatedTo."""
+        return self._edges(df).unionByName(quads(df.where("other != ''"), self.spine, self.iris.issue(F.col("other")), [self.type("Issue")])).dropDuplicates()
+
+    def _edges(self, df: DataFrame) -> DataFrame:
         rows = df.where("other != ''")
         kind = F.lower(F.coalesce("type", F.lit("")))
         this, other = self.iris.issue(F.col("identifier")), self.iris.issue(F.col("other"))
         p = F.when(kind == "blocks", self.o("dependsOn")).when(kind == "duplicate", self.o("duplicateOf")).otherwise(self.o("relatedTo"))
         turned = kind == "blocks"
-        edge = rows.select(self.spine.alias("g"), F.when(turned, other).otherwise(this).alias("s"), p.alias("p"), F.when(turned, this).otherwise(other).alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
-        return edge.unionByName(quads(rows, self.spine, other, [self.type("Issue")])).dropDuplicates()
+        return rows.select(self.spine.alias("g"), F.when(turned, other).otherwise(this).alias("s"), p.alias("p"), F.when(turned, this).otherwise(other).alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
 
     def comments(self, df: DataFrame, run_id: str) -> DataFrame:
         """df (identifier, title, tags array<string>, ordinal, body, author): those with a kind, with provenance and the issue's tags."""

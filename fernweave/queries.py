@@ -815,7 +815,7 @@ def _(spark, sf_dir):
     none = F.lit(None).cast("string")
     name = lambda c: F.struct(c.alias("name"))
     df = rows.select(key(k).alias("identifier"), none.alias("title"), none.alias("description"), none.alias("branchName"), none.alias("team"), none.alias("sourceSystem"), name(F.col("o_orderstatus")).alias("state"), F.struct(F.array(name(F.col("o_orderpriority")), name(F.lit("AI-Working"))).alias("nodes")).alias("labels"), name(F.col("c_mktsegment")).alias("project"), F.when(k % 5 != 0, F.struct(key(k - k % 5).alias("identifier"))).alias("parent"), F.lit(None).cast("struct<nodes: array<struct<type: string, relatedIssue: struct<identifier: string>>>>").alias("relations"))
-    return Construct(CFG).issues(df).select("s", "p", "o").distinct()
+    return Construct(CFG).issues(df).select("s", "p", "o")  # distinct in one graph, and a predicate's terms are of one kind
 
 
 def facts_sql(base: str, *facts: tuple[str, str, str]) -> str:

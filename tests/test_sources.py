@@ -232,3 +232,18 @@ def test_related_solutions_of_one_path(spark):
     rows = spark.createDataFrame([("s", "d/a.md", str(i), {"related_solutions": ["d/a.md"]}) for i in range(20)], "slug string, path string, lid string, meta map<string, array<string>>")
     c = Construct(GraphConfig())
     assert c.related(rows, F.lit("g"), F.col("lid")).count() == 20
+
+
+def test_issues_are_distinct_without_a_shuffle_of_facts(spark):
+    """Repeated and changed issues, labels that differ in case, parents and relations that are issues themselves."""
+    schema = "identifier string, title string, description string, branchName string, team string, sourceSystem string, state struct<name: string>, labels struct<nodes: array<struct<name: string>>>, project struct<name: string>, parent struct<identifier: string>, relations struct<nodes: array<struct<type: string, relatedIssue: struct<identifier: string>>>>"
+    issue = lambda key, title="t", labels=("Bug", "bug", "Bug", "", None), parent="A-1", other="A-2": (key, title, None, None, None, None, ("Done",), ([(x,) for x in labels],), ("P",), (parent,), ([("blocks", (other,))],))
+    rows = [issue("A-1"), issue("A-2"), issue("A-2"), issue("A-2", "u", ("x",), "A-3"), issue("A-4", labels=()), (*issue("A-5")[:7], None, None, None, None), (*issue(None)[:10], None)]
+    out = Construct(GraphConfig()).issues(spark.createDataFrame(rows, schema))
+    got = [tuple(r) for r in out.select("s", "p", "o").collect()]
+    assert len(got) == len(set(got)) and out._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    short = {(s.rsplit("/", 1)[-1], p.split("#")[-1].split("/")[-1], o.rsplit("/", 1)[-1].split("#")[-1]) for s, p, o in got}
+    assert {o for s, p, o in short if (s, p) == ("A-2", "label")} == {"A-2", "Bug", "bug", "x"} and {o for s, p, o in short if (s, p) == ("A-2", "title")} == {"t", "u"}
+    assert {o for s, p, o in short if (s, p) == ("A-2", "tagged")} == {"bug", "x"} and {o for s, p, o in short if (s, p) == ("A-2", "partOf")} == {"A-1", "A-3"}
+    assert {s for s, p, o in short if o == "Issue"} == {"A-1", "A-2", "A-3", "A-4", "A-5"} and {o for s, p, o in short if (s, p) == ("A-2", "dependsOn")} == {"A-1", "A-2", "A-4"}
+    assert {s for s, p, o in short if o == "Topic"} == {"bug", "x"} and ("P", "title", "P") in short
