@@ -144,8 +144,9 @@ def history(graph: Graph, repo: str, branch: str | None = None, since: str | Non
     date's text, latest first, as the tool always had it; by_instant: by the instant, whatever its offset.
     """
     at = lambda p, name: graph.values(p, name)
+    per = lambda p, name: graph.spread(at(p, name), "s")
     repos = at(graph.onto("sourceId"), "slug").where(F.col("slug") == repo).select(F.col("s").alias("repo"))
-    own = graph.where(graph.onto("partOf")).select("s", F.col("o").alias("repo")).join(repos, "repo")
+    own = graph.where(graph.onto("partOf")).select("s", F.col("o").alias("repo")).join(repos, "repo").transform(graph.spread, "s")
     at_least = F.to_timestamp(F.lit(as_datetime(since))) if since is not None else None
     at_most = F.to_timestamp(F.lit(as_datetime(until))) if until is not None else None
 
@@ -156,15 +157,15 @@ def history(graph: Graph, repo: str, branch: str | None = None, since: str | Non
     cols = "type string, iri string, title string, sha string, number long, state string, base_ref string, date string"
     legs = []
     if kind in (None, "commit"):
-        c = graph.instances("Commit").select("s").join(own, "s").join(at(G.CREATED, "date"), "s")
+        c = graph.spread(graph.instances("Commit").select("s"), "s").join(own, "s").join(per(G.CREATED, "date"), "s")
         if branch:
             c = c.join(at(graph.onto("historyBranch"), "b").where(F.col("b") == branch).select(F.col("s").alias("repo")), "repo")
-        c = within(c).join(at(G.TITLE, "title"), "s", "left").join(at(graph.onto("sourceId"), "sha"), "s", "left")
+        c = within(c).join(per(G.TITLE, "title"), "s", "left").join(per(graph.onto("sourceId"), "sha"), "s", "left")
         legs.append(c.selectExpr("'Commit' type", "s iri", "coalesce(title, '') title", "sha", "cast(null as long) number", "cast(null as string) state", "cast(null as string) base_ref", "date").orderBy(F.desc(F.to_timestamp("date")), "iri").limit(limit))
     if kind in (None, "pr"):
-        p = graph.instances("PullRequest").select("s").join(own, "s")
+        p = graph.spread(graph.instances("PullRequest").select("s"), "s").join(own, "s")
         for name, col in ((G.TITLE, "title"), (graph.onto("number"), "number"), (graph.onto("state"), "state"), (graph.onto("mergedAt"), "date"), (graph.onto("baseRefName"), "base_ref")):
-            p = p.join(at(name, col), "s", "left")
+            p = p.join(per(name, col), "s", "left")
         p = p.withColumn("number", F.col("number").cast("long"))
         if pr is not None:
             p = p.where(F.col("number") == pr)
